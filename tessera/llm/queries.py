@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,46 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import held_out, scored, trained
+
+    docs = table(spark, sf_dir, "documents")
+    machine = trained(docs, table(spark, sf_dir, "labels"), ("n_chars",))
+    rows = scored(docs.select("doc_id", "text", "n_chars"), machine, ("n_chars",))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identified, trained
+
+    docs = table(spark, sf_dir, "documents")
+    return identified(docs, trained(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import components
+
+    return components(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -34,6 +34,24 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(docs, trained(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import findings
+
+    return findings(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import copies
+
+    return copies(table(spark, sf_dir, "documents"))
+
+
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import components
 
@@ -63,4 +81,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .mixing import ORACLE_SQL
+
+    return {"op5_mixing": ORACLE_SQL}

@@ -1,0 +1,395 @@
+"""The training-data operators against brute force, exact round trips, and the cases of dirty tables."""
+
+import hashlib
+import json
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import extraction, imatch, language, mixing, neighbours, packing, passages, quality, queries, secret_scan, simhash
+from tessera.llm.common import connected_components
+from tessera.llm.tokens import encoder
+
+SF = "/root/testdata/sf0.001"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choices(["an", "ber", "tion", "ou", "re", "st", "qua", "li"], k=rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    passage = words(rng, 70)
+    out = [words(rng, rng.randint(1, 400)) for _ in range(60)]
+    out += [out[3], out[3], out[5].upper(), None, "", " \n\t ", "!!!", "12 34", "Ünïcode ß — naïve 日本語 ́x", "a\x1cb <|endoftext|> c"]
+    out += [words(rng, 20) + " " + passage + " " + words(rng, 30) for _ in range(4)]
+    out.append(words(rng, 20_000))
+    near = out[10].split() * 3
+    out.append(" ".join(near))
+    near[40] = "changed"
+    out.append(" ".join(near))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(k, t, None if k % 7 == 0 else ["en", "de", "fr"][k % 3], None if k % 11 == 0 else "hot" if k % 3 else "cold", None if t is None else len(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    return df.withColumns({"score": F.lit("clash"), "label": F.lit(1), "bits": F.lit("x"), "key": F.lit(0), "rank": F.lit(2.0)}).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_encoder_equals_the_tokenizer(texts):
+    from tokenizers import Tokenizer
+
+    own, encode = Tokenizer.from_file(TOKENIZER), encoder(TOKENIZER)
+    odd = ["It's THE straße's end!!", "x²½ĀİΩ", "tab\tnew\nline  two", "a'b''s", "é" * 300, "word" * 100]
+    for t in [t for t in texts if t] + odd:
+        assert np.frombuffer(encode(t), "<u2").tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_is_an_exact_partition(spark, docs, texts):
+    rows = packing.pack(docs, TOKENIZER, length=256, weights={"hot": 0.8, "cold": 0.1}).collect()
+    encode = encoder(TOKENIZER)
+    whole = {k: np.append(np.frombuffer(encode(t or ""), "<u2"), np.uint16(1)) for k, t in enumerate(texts)}
+    seen = {k: np.zeros(len(x), int) for k, x in whole.items()}
+    by = {}
+    for r in rows:
+        x = whole[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(whole[r.doc_id]) and zlib.crc32(x.astype("<u4").tobytes()) == r.ids_crc32 and bytes(r.ids) == x.tobytes()
+        seen[r.doc_id][r.start : r.start + r.length] += 1
+        by.setdefault(r.sequence_id, []).append(r)
+    assert all((x == 1).all() for x in seen.values())
+    assert sorted(by) == list(range(len(by)))
+    for k, pieces in by.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 256 or k == len(by) - 1
+    first = by[0]
+    share = sum(r.length for r in first if r.source == "hot") / 256
+    assert abs(share - 0.8 / 0.9) < 0.02
+
+
+def test_line_of_queues_is_a_permutation():
+    line = packing.Line([3, 1, 7], [50, 20, 33])
+    s = np.repeat([0, 1, 2], [50, 20, 33])
+    i = np.concatenate([np.arange(50), np.arange(20), np.arange(33)])
+    assert sorted(line.place(s, i).tolist()) == list(range(103))
+
+
+def test_packing_of_nothing(empty):
+    assert packing.pack(empty, TOKENIZER).count() == 0
+
+
+@needs_data
+def test_quality_and_language_on_held_out_rows(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = queries.op2_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in scored]) > 0.85
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in scored)
+    found = queries.op3_language(spark, SF).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.95
+
+
+def test_pairwise_identity_of_the_machine():
+    rng = np.random.default_rng(0)
+    m = quality.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, quality.RANK)))
+    at, x = np.array([3, 9, 30, 41]), rng.normal(size=4)
+    slow = 0.3 + m.weight[at] @ x + sum(m.factor[at[i]] @ m.factor[at[j]] * x[i] * x[j] for i in range(4) for j in range(i))
+    assert np.isclose(m.margins([(at, x)])[0], slow)
+
+
+def test_quality_of_dirty_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(k, k % 2, None) for k in range(60)] + [(None, 1, 0), (5, None, 0), (7, 9, 0)], "doc_id bigint, quality int, toxic int")
+    machine = quality.trained(docs, labels, ("n_chars",))
+    assert quality.scored(docs, machine, ("n_chars",)).where("score between 0 and 1").count() == docs.count()
+    none = quality.trained(empty, labels.limit(0))
+    assert [r.score for r in quality.scored(docs.limit(2), none).collect()] == [0.5, 0.5]
+    assert quality.scored(empty, machine, ("n_chars",)).count() == 0
+    assert quality.good(docs, labels, 0.0).columns == docs.columns
+
+
+def test_language_of_dirty_rows(docs, texts, empty):
+    model = language.trained(docs)
+    got = {r.doc_id: r for r in language.identified(docs, model).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert (got[k].lang_pred == "und") == (not t or not re.search(r"[^\W\d_]", t))
+        assert 0 <= got[k].score <= 1
+    nothing = language.trained(empty)
+    assert {r.lang_pred for r in language.identified(docs, nothing).collect()} == {"und"}
+    assert language.identified(empty, model).count() == 0
+    assert language.family_of("pt-BR") == "romance" and language.family_of("xx") == "xx"
+
+
+def test_secrets(spark, docs, empty):
+    key, sha = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "2fd4e1c67a2d28fced849ee1bb76e7391b93eb12"
+    lines = [f'before token = "{key}" after', f"fixed in commit {sha} today", 'password: "changeme123"', f"AKIA{'ABCD1234' * 2} {key}", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", None, ""]
+    d = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(lines)], SCHEMA)
+    found = secret_scan.findings(d).collect()
+    for r in found:
+        assert lines[r.doc_id][r.start : r.start + r.length] == r.value
+    secret = {(r.doc_id, r.value[:8]) for r in found if r.secret}
+    assert {(0, key[:8]), (3, "AKIAABCD"), (4, "-----BEG")} <= secret
+    assert not {k for k, _ in secret} & {1, 2}
+    clean = {r.doc_id: r for r in secret_scan.redacted(d).collect()}
+    assert clean[0].text == 'before token = "[SECRET]" after' and clean[0].n_chars == len(clean[0].text) and clean[1].text == lines[1] and clean[5].text is None
+    assert secret_scan.findings(empty).count() == 0 and secret_scan.redacted(empty).count() == 0
+    assert secret_scan.redacted(docs).count() == docs.count()
+
+
+def test_forest_on_findings_it_has_not_seen():
+    forest = secret_scan.trained()
+    right = []
+    for text, label in secret_scan.made_findings(600, seed=99):
+        scores = [s for *_, s in secret_scan.spans(text, forest)]
+        if scores:
+            right.append((max(scores) >= 0.5) == bool(label))
+    assert np.mean(right) > 0.93
+
+
+@needs_data
+def test_mixing_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = sorted(con.execute(f"SELECT doc_id, copy, shuffle_key FROM ({mixing.ORACLE_SQL})").fetchall())
+    got = queries.op5_mixing(spark, SF).select("doc_id", "copy", "shuffle_key").collect()
+    assert sorted(map(tuple, got)) == want
+    keys = [r.shuffle_key for r in got]
+    assert keys == sorted(keys)
+
+
+def test_mixing_reaches_its_targets(spark, empty):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x" * 9).alias("text"), F.when(F.col("id") % 8 == 0, "rare").otherwise("common").alias("source"))
+    n = {r.source: r["count"] for r in mixing.copies(d, {"rare": 0.5, "common": 0.5}).groupBy("source").count().collect()}
+    assert abs(n["rare"] / 2000 - 1) < 0.1 and abs(n["common"] / 2000 - 1) < 0.1
+    assert "gone" not in {r.source for r in mixing.copies(d.withColumn("source", F.when(F.col("doc_id") % 2 == 0, "gone").otherwise("kept")), {"kept": 1.0}).collect()}
+    many = mixing.copies(d.limit(20), {"rare": 0.5, "common": 0.5}, epochs=500.0)
+    assert abs(many.count() / 10_000 - 1) < 0.1
+    assert mixing.copies(empty).count() == 0
+
+
+def test_mixing_keeps_dirty_rows_whole(docs):
+    out = mixing.copies(docs, power=1.0)
+    assert out.columns == [*docs.columns, "copy", "shuffle_key"] and out.count() > 0
+
+
+def brute_windows(order, least):
+    out = set()
+
+    def cut(a, b):
+        if b - a >= least:
+            c = a + int(np.argmin(order[a:b]))
+            out.add((a, c, b))
+            cut(a, c), cut(c + 1, b)
+
+    cut(0, len(order))
+    return out
+
+
+def test_compact_windows_are_the_cartesian_tree():
+    rng = np.random.default_rng(2)
+    order = rng.permutation(300)
+    bits = 9
+    coded = np.append(order.astype(np.int64) << bits | np.arange(300), np.int64((1 << 63) - 1))
+    got = passages.compact_windows(coded, bits, np.array([[0, 120], [120, 300]]), 10)
+    want = brute_windows(order[:120], 10) | {(a + 120, c + 120, b + 120) for a, c, b in brute_windows(order[120:], 10)}
+    assert set(zip(*(x.tolist() for x in got))) == want
+
+
+def test_passages_against_brute_force(docs, texts, empty):
+    rows = passages.repeated_passages(docs).collect()
+    lines = {k: (t or "").encode().lower().split() for k, t in enumerate(texts)}
+    first = {}
+    for k, w in sorted(lines.items()):
+        for i in range(len(w) - 50):
+            first.setdefault(b" ".join(w[i : i + 51]), k)
+    need = {k for k, w in lines.items() for i in range(len(w) - 50) if first[b" ".join(w[i : i + 51])] < k}
+    assert need <= {r.doc_id for r in rows}
+    for r in rows:
+        a, b = (simhash.shingle_hashes(lines[d][s : s + n], 5) for d, s, n in ((r.doc_id, r.start, r.words), (r.first_doc, r.first_start, r.first_words)))
+        both = len(np.intersect1d(a, b))
+        assert both / (len(set(a.tolist())) + len(set(b.tolist())) - both) >= 0.8 and r.words >= 50 and r.first_doc < r.doc_id
+    assert passages.repeated_passages(empty).count() == 0
+
+
+def test_golay_code_is_perfect():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 23, 500)
+    assert len(set(simhash.ERRORS.tolist())) == 1 << 11  # every remainder has a pattern of its own
+    words_ = np.array([m << 11 | simhash._remainder(m << 11) for m in range(1 << 12)])
+    for error in (0, 1, 1 << 22 | 1, 1 << 3 | 1 << 9 | 1 << 20):
+        assert (simhash.nearest(words_ ^ error) == np.arange(1 << 12)).all()
+    for two in (0, 1 << 4, 1 << 4 | 1 << 19):
+        a, fa = simhash.fuzzy_keys(x, 23)
+        b, fb = simhash.fuzzy_keys(x ^ two, 23)
+        assert all(set(p[f]) & set(q[g]) for p, f, q, g in zip(a, fa, b, fb))
+
+
+def test_simhash_components_against_brute_force(docs, texts, empty):
+    def bits(t):
+        w = (t or "").encode().lower().split()
+        sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+        return sum(1 << b for b in range(64) if sh and sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    prints = [bits(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(prints):
+            root[i] = min(root[j] for j, b in enumerate(prints) if (a ^ b).bit_count() <= 2)
+    got = {r.doc_id: r for r in simhash.components(docs).collect()}
+    assert [got[k].bits % (1 << 64) for k in range(len(texts))] == prints
+    assert [got[k].component_id for k in range(len(texts))] == root
+    assert simhash.components(empty).count() == 0
+
+
+def test_links_of_many_random_neighbours(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    prints = {b for b in base} | {b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(3)}
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    pairs = {(r.a, r.b) for r in simhash.links(spark.createDataFrame(signed, "bits bigint")).collect()}
+    group = {p: p for (p,) in signed}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in pairs:
+        assert ((a ^ b) % (1 << 64)).bit_count() <= 2
+        group[find(a)] = find(b)
+    for (a,) in signed:
+        for (b,) in signed:
+            if ((a ^ b) % (1 << 64)).bit_count() <= 2:
+                assert find(a) == find(b)
+
+
+def test_near_duplicates_stage(docs, texts, empty):
+    near = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs).collect()}
+    shingles = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    for i, a in enumerate(shingles):
+        for j, b in enumerate(shingles[:i]):
+            if a == b or a and b and len(a & b) >= 0.8 * len(a | b):
+                assert near[i] == near[j]
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(near.values())
+    assert simhash.one_of_each(empty).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7), (None, 3)], "a bigint, b bigint")
+    got = {r.node: r.root for r in connected_components(links).collect()}
+    assert got == {**{k: 0 for k in range(201)}, 500: 500, 501: 500}
+    assert connected_components(links.limit(0)).count() == 0
+
+
+def test_neighbours_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 24))
+    v[700:760] = v[3]
+    rows = [(k, [float(x) for x in v[k]], k % 3) for k in range(1500)] + [(1600, None, 0), (1620, [0.0] * 24, 0), (1640, [float("nan")] * 24, 0), (1660, [1.0, None] * 12, 0), (1680, [1.0], 0), (None, [1.0] * 24, 0)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == set(range(0, 1500, 20))
+    hits = []
+    for q, ranked in got.items():
+        score = (v * v[q]).sum(axis=1)
+        best = [k for k in np.lexsort((np.arange(1500), -score)) if k != q][:20]
+        assert all(score[k] == s for k, s in ranked.values()) and sorted(ranked) == list(range(1, 21))
+        assert list(ranked.values()) == sorted(ranked.values(), key=lambda x: (-x[1], x[0]))
+        hits.append(len({k for k, _ in ranked.values()} & set(best)) / 20)
+    assert np.mean(hits) >= 0.9
+    few = neighbours.nearest(spark.createDataFrame(rows[:5], "vec_id bigint, embedding array<double>, label int"))
+    assert few.count() == 4
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+
+
+def test_imatch(docs, texts, empty):
+    got = {r.doc_id: r for r in imatch.fingerprints(docs, rows_a_part=10).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        t, after = t or "", texts[k - 1] or ""
+        changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[k].n_chars == len(t) and got[k].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
+        if not t:
+            assert (got[k].near_next == 1) == (not texts[k - 1] or not imatch.terms(texts[k - 1]))
+    assert got[60].fingerprint == got[61].fingerprint == got[3].fingerprint and got[61].near_next == 1.0
+    assert len({r.fingerprint for r in got.values()}) > 60
+    assert imatch.fingerprints(empty).count() == 0
+    assert imatch.fingerprints(docs.where("doc_id = 3")).first().near_next == 1.0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body class="page">
+<header class="site-header">Site name</header><nav><ul><li><a href="/a">Home</a></ul></nav><div id="cookie-notice">We use cookies</div><!-- hidden -->
+{open}<h1>Head &amp; shoulders</h1><p>First <b>bold<br>line&nbsp;here <p>Second &lt;tag&gt; &#8364;</p><div class="ad">Buy</div><ul><li>one</li><li>two</li></ul>{close}
+<aside>Side</aside><section class="comments"><p>Nice post!</p></section><form><input name=q><p>Subscribe</p></form><footer>&copy; us</footer></body></html>"""
+
+
+def test_page_text(spark):
+    want = "Head & shoulders\nFirst bold line here\nSecond <tag> €\none\ntwo"
+    pages = [(1, "http://h/a", PAGE.format(open="<article>", close="</article>")), (2, "http://h/b", PAGE.format(open="<main>", close="</main>")), (3, "http://solo/c", PAGE.format(open="<div>", close="</div>")), (4, None, None), (5, "x", ""), (6, "y", "plain text"), (7, "y", "<p>un<i>closed <p>two")]
+    got = {r.page_id: r.text for r in extraction.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))).collect()}
+    assert got == {1: want, 2: want, 3: want, 4: "", 5: "", 6: "plain text", 7: "unclosed\ntwo"}
+    assert extraction.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_repeated_runs_of_a_host_go(spark):
+    rng = random.Random(8)
+    slogan = "the best place for all of your daily reading needs"
+    own = [words(rng, 40) for _ in range(4)]
+    pages = [(k, f"http://{'h' if k < 3 else 'other'}/{k}", f"<body><div>{slogan}</div><p>{t}</p></body>") for k, t in enumerate(own)] + [(9, "http://h/9", f"<body><div>{slogan}</div><article><p>{slogan}</p></article></body>")]
+    got = {r.page_id: r.text for r in extraction.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {0: own[0], 1: own[1], 2: own[2], 3: f"{slogan}\n{own[3]}", 9: slogan}
+
+
+@needs_data
+def test_articles_of_the_pages(spark):
+    import html
+
+    got = {r.page_id: r for r in queries.op10_extraction(spark, SF).collect()}
+    for p in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        article = re.search(r"<article>(.*)</article>", p.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h\d|ul|li|div)\b[^>]*>", article)]
+        assert got[p.page_id].text == "\n".join(filter(None, blocks)) and got[p.page_id].n_chars == len(got[p.page_id].text)
+
+
+@needs_data
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, SF).cache()
+        assert kept.columns == docs.columns
+        assert kept.join(before, "doc_id", "left_anti").count() == 0
+    assert kept.where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
+    pieces = corpus_pipeline.run(spark, SF)
+    per = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r.n == r.end <= 2048 for r in per) and sum(r.n < 2048 for r in per) <= 1
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).select("doc_id").collect()}
+    assert np.mean([(k in good) == bool(q) for k, q in labels.items()]) > 0.9
+    assert json.dumps([n for n, _ in corpus_pipeline.STAGES])

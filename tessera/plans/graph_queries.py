@@ -320,7 +320,7 @@ def _(g: Tables) -> DataFrame:
     return per.withColumn("pct", expr.percent(F.col("part"), F.col("whole")).cast("double"))
 
 
-@query("ag6_namespaces", f"{NAMED_SQL} SELECT split_part(id, ':', 1) AS ns, subject, count(*) AS n, count(*) OVER (PARTITION BY split_part(id, ':', 1)) > 1 AS mixed FROM named GROUP BY ALL", ALL)
+@query("ag6_namespaces", f"{NAMED_SQL} SELECT *, count(*) OVER (PARTITION BY ns) > 1 AS mixed FROM (SELECT split_part(id, ':', 1) AS ns, subject, count(*) AS n FROM named GROUP BY ALL)", ALL)
 def _(g: Tables) -> DataFrame:
     per = named(g.n).groupBy(expr.namespace(F.col("id")).alias("ns"), "subject").agg(F.count("*").alias("n"))
     return per.join(per.groupBy("ns").agg((F.count("*") > 1).alias("mixed")), "ns").select("ns", "subject", "n", "mixed")

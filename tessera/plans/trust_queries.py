@@ -395,9 +395,9 @@ def _(g: Tables) -> DataFrame:
     return flows.budgets(g.table("events"), 200.0).withColumn("spent", F.round("spent", 4))
 
 
-@query("ss2_daily_usage", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('view', 'signup', 'error', 'click', 'purchase') AND ts IS NOT NULL GROUP BY ALL")
+@query("ss2_daily_usage", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('view', 'signup', 'error', 'click', 'purchase') AND ts IS NOT NULL GROUP BY ALL")
 def _(g: Tables) -> DataFrame:
-    return flows.usage(g.table("events")).withColumn("total", F.round("total", 4))
+    return flows.usage(g.table("events")).withColumns({"day": F.col("day").cast("string"), "total": F.round("total", 4)})
 
 
 @query("ag21_usage_totals", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,28 @@ def rows_of(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 
+def squeezed(rows: DataFrame) -> DataFrame:
+    """(doc_id, raw): texts compressed by themselves, before they are sent to another task; null text stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            raw = [None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(raw, pa.binary())], names=["doc_id", "raw"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, raw binary")
+
+
+def opened(raw: pa.Array) -> Iterator[str | None]:
+    """The texts of squeezed()."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    return (None if r is None else unpack.decompress(r).decode("utf-8", "surrogatepass") for r in raw.to_pylist())
+
+
 def connected_components(links: DataFrame, kind: str = "bigint") -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node that can be reached.
 

@@ -55,7 +55,7 @@ class Features:
         self.hashed: dict[str, int] = {}
 
     def bucket(self, word: str) -> int:
-        if len(self.hashed) > 1_000_000:
+        if len(self.hashed) > 250_000:
             self.hashed.clear()
         self.hashed[word] = b = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % WORDS
         return b
@@ -84,8 +84,10 @@ class Machine:
     factor: np.ndarray
 
     def margins(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        if not rows:
-            return np.zeros(0)
+        parts = [self._margins(rows[k : k + 128]) for k in range(0, len(rows), 128)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _margins(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         at, x = (np.concatenate(c) for c in zip(*rows))
         begin = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])[:-1]])
         vx = self.factor[at] * x[:, None]
@@ -153,18 +155,22 @@ def scored(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = (), na
     """docs with a score in 0..1 in column `name`, which replaces one of that name; all rows, whole texts, null text as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     docs = docs.drop(name)
+    if docs.schema["text"].dataType.typeName() != "string":
+        docs = docs.withColumn("text", F.col("text").cast("string"))
     extra = [F.col(f"`{c}`").cast("double").alias(f"_meta{k}") for k, c in enumerate(metadata)]
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
+    keep, place = len(schema) - 1, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(len(metadata)), sent.value
-        keep = len(schema) - 1
-        for batch in batches:
-            meta = [batch.column(keep + 1 + k).to_pylist() for k in range(len(metadata))]
-            rows = [features.of(t, list(x)) for t, *x in zip(batch.column(keep).to_pylist(), *meta)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(m.scores(rows))], names=[f.name for f in schema])
-
-    return docs.select("*", F.col("text").cast("string").alias("_text"), *extra).mapInArrow(run, schema)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):  # a few texts' features at a time
+                batch = whole.slice(k, 500)
+                meta = [batch.column(keep + c).to_pylist() for c in range(len(metadata))]
+                rows = [features.of(t, list(x)) for t, *x in zip(batch.column(place).to_pylist(), *meta)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(m.scores(rows))], names=[f.name for f in schema])
+
+    return docs.select("*", *extra).mapInArrow(run, schema)
 
 
 def good(docs: DataFrame, labels: DataFrame, least: float = 0.7, metadata: tuple[str, ...] = (), most: int = 12_000) -> DataFrame:

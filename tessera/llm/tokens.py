@@ -24,7 +24,7 @@ def _byte_letters() -> list[str]:
 class WordIds(dict):
     """Maps a lower-case Latin-1 word (bytes without white space) to its ids as 16-bit bytes; emptied at `most` words."""
 
-    def __init__(self, model, most: int = 2_000_000):
+    def __init__(self, model, most: int = 400_000):
         super().__init__()
         self.model, self.most, self.letters = model, most, _byte_letters()
         self.pieces: dict[bytes, bytes] = {}

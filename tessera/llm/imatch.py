@@ -77,6 +77,11 @@ def lexicon(docs: DataFrame, rarest: float, commonest: float) -> np.ndarray:
     return np.sort(band["term"].to_numpy())
 
 
+def usual_level(n: int) -> int:
+    """The level that leaves n terms a quarter to one a subset; the last but one at most."""
+    return min(len(LEVELS) - 2, max(0, int(np.log2(max(n, 1)) / 2 + 0.75)))
+
+
 class Subsets:
     """The values of all subsets for one array of term hashes."""
 
@@ -96,28 +101,38 @@ class Subsets:
         if not len(h):
             return 0, out
         h = np.sort(h)
+        # a subset keeps the terms whose product with its salt is small; denser levels hold the sparser ones' terms, and those
+        # so dense that no comparison reads them stay zero. What a subset keeps is a sorted set, hashed by the sum of its mixed values.
+        first = max(0, usual_level(len(h)) - 1)
         with np.errstate(over="ignore"):
-            mixed = h[:, None] * self.salts
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(32)
-            # a subset's terms, a set in sorted order, are hashed by a sum of their mixed values, which is the same for any order
-            for k, v in enumerate(LEVELS):
-                chosen = (mixed & np.uint64((1 << v) - 1)) == 0
-                total = np.where(chosen, (mixed >> np.uint64(16)) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0)).sum(0, dtype=np.uint64)
-                out[k] = np.where(chosen.any(0), (total >> np.uint64(40)) % np.uint64(16**DIGITS - 1) + np.uint64(1), np.uint64(0))
+            product = (self.salts[:, None] * h).ravel()
+            kept = np.flatnonzero(product >> np.uint64(64 - LEVELS[first]) == 0) if LEVELS[first] else np.arange(len(product))
+            product, which = product[kept], kept // len(h)
+            mixed = (product ^ product >> np.uint64(23)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            mixed = (mixed ^ mixed >> np.uint64(29)) >> np.uint64(16)
+            for k in range(first, len(LEVELS)):
+                if k > first:
+                    kept = np.flatnonzero(product >> np.uint64(64 - LEVELS[k]) == 0)
+                    product, which, mixed = product[kept], which[kept], mixed[kept]
+                if not len(which):
+                    break
+                start = np.flatnonzero(np.diff(which, prepend=-1))
+                total = np.add.reduceat(mixed, start)
+                out[k, which[start]] = total % np.uint64(16**DIGITS - 1) + np.uint64(1)
         return len(h), out
 
 
 def written(n: int, values: np.ndarray) -> str:
-    return f"{n:x}:" + "".join(f"{v:0{DIGITS}x}" for v in values.ravel().tolist())
+    """The number of terms and all values, three hexadecimal digits each."""
+    pairs = values.reshape(-1, 2).astype(">u4")
+    return f"{n:x}:" + (pairs[:, 0] << 12 | pairs[:, 1]).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()
 
 
 def likeness(n: int, a: np.ndarray, m: int, b: np.ndarray) -> float:
     """The part of subsets with equal values, of those that keep a term of either, at the two densities next to one term; none: 1 if both are empty, else 0."""
     if not n or not m:
         return float(n == m)
-    level = min(len(LEVELS) - 2, max(0, int(np.log2(max(n, m)) / 2 + 0.75)))
+    level = usual_level(max(n, m))
     a, b = a[level : level + 2], b[level : level + 2]
     used = (a > 0) | (b > 0)
     return float((used & (a == b)).sum() / used.sum()) if used.any() else float((a == b).all() and n == m)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, rows_of, stored
+from .common import connected_components, opened, rows_of, squeezed, stored
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the code.
 GENERATOR, LENGTH, CHECK = 0b101011100011, 23, 11
@@ -156,16 +156,24 @@ def components(docs: DataFrame, n: int = 3) -> DataFrame:
 WIDE = 4
 
 
+class Digests(dict):
+    """128-bit digests of words, kept while there are fewer than 200,000."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = d = xxhash.xxh3_128_digest(word)
+        return d
+
+
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text key (128-bit digest of the words), 92 bits in two longs, and the number of words."""
-    cache: dict[bytes, tuple[int, int]] = {}
+    cache = Digests()
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
         for text in batch["text"].to_pylist():
             words = words_of(text)
-            if len(cache) > 500_000:
-                cache.clear()
-            hashes = np.array([cache.get(w) or cache.setdefault(w, (xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w, 2))) for w in set(words)], np.uint64).reshape(-1, 2)
+            hashes = np.frombuffer(b"".join(map(cache.__getitem__, set(words))), np.uint64).reshape(-1, 2)
             digest = xxhash.xxh3_128_intdigest(b" ".join(words))
             for column, x in zip(out, (digest >> 64, digest & (1 << 64) - 1, majority(hashes[:, 0]), majority(hashes[:, 1]), len(words))):
                 column.append(x)
@@ -190,14 +198,41 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(ra, size)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             key = (k << 24) | (np.repeat(a[ra, ca], size).astype(np.int64) << 12) | flat[begin[row] + nth]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(lo[row]), pa.array(hi[row])], names=["key", "lo", "hi"])
+            # 27 bits of the key and 92 of the fingerprint in two longs
+            yield pa.RecordBatch.from_arrays([pa.array(key << 36 | hi[row] & ((1 << 36) - 1)), pa.array(lo[row] << 10 | hi[row] >> 36)], names=["x", "y"])
+
+
+def _wide_pairs(bits: int):
+    """Rows sorted by key: each fingerprint with the first of its key and with the one before it, if they are within `bits` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = last = None
+        for batch in batches:
+            x, y = batch["x"].to_numpy(), batch["y"].to_numpy()
+            if not len(x):
+                continue
+            key, lo, hi = x >> 36, y >> 10, (y & 1023) << 36 | x & ((1 << 36) - 1)
+            if last is not None:  # the first and the last of the key that the batch before ended in
+                key, lo, hi = (np.concatenate([[a, b], c]) for a, b, c in zip(head, last, (key, lo, hi)))
+            new = np.append(True, key[1:] != key[:-1])
+            at = np.arange(len(key))
+            first = np.maximum.accumulate(np.where(new, at, 0))
+            for other in (first, np.where(new, at, at - 1)):
+                near = np.bitwise_count(lo ^ lo[other]) + np.bitwise_count(hi ^ hi[other])
+                own = np.flatnonzero((near > 0) & (near <= bits))
+                pair = np.unique(np.stack([lo[own], hi[own], lo[other[own]], hi[other[own]]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pair.T.copy()] if len(pair) else [pa.array([], pa.int64())] * 4, names=["lo", "hi", "lo2", "hi2"])
+            k = int(first[-1])
+            head, last = (key[k], lo[k], hi[k]), (key[-1], lo[-1], hi[-1])
+
+    return run
 
 
 def _jaccard(most: float, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist()):
+            for x, y in zip(opened(batch["ta"]), opened(batch["tb"])):
                 a, b = (np.unique(shingle_hashes(words_of(t), n)) for t in (x, y))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(both >= most * (len(a) + len(b) - both))
@@ -217,20 +252,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5, bits:
     prints = stored(rows.mapInArrow(_wide, "doc_id bigint, t1 bigint, t2 bigint, lo bigint, hi bigint, words bigint"), "wide")
     nodes = stored(prints.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("words").alias("words")), "nodes")
     sets = nodes.where("words > 0").select("lo", "hi").distinct()
-    keys = stored(sets.mapInArrow(_wide_keys, "key bigint, lo bigint, hi bigint"), "keys")
-    one = F.struct(F.xxhash64("key", "lo", "hi").alias("r"), "lo", "hi")
-    ends = keys.groupBy("key").agg(F.min(one).alias("p"), F.max(one).alias("q")).where("p <> q")
-    met = keys.join(ends, "key").select("lo", "hi", F.explode(F.array("p", "q")).alias("o"))
-    apart = F.bit_count(F.col("lo").bitwiseXOR(F.col("o.lo"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("o.hi")))
-    met = met.where((apart <= bits) & ((F.col("lo") != F.col("o.lo")) | (F.col("hi") != F.col("o.hi")))).select("lo", "hi", F.col("o.lo").alias("lo2"), F.col("o.hi").alias("hi2")).distinct()
+    keys = sets.mapInArrow(_wide_keys, "x bigint, y bigint")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.shiftright("x", 36)
+    met = keys.repartition(parts, key).sortWithinPartitions(key, F.xxhash64("x", "y")).mapInArrow(_wide_pairs(bits), "lo bigint, hi bigint, lo2 bigint, hi2 bigint").distinct()
     # one text stands for each fingerprint; texts with equal fingerprints are compared with it
     heads = nodes.where("words > 0").groupBy("lo", "hi").agg(F.min("node").alias("head"))
     across = met.join(heads, ["lo", "hi"]).withColumnRenamed("head", "a").join(heads.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("head").alias("b")), ["lo2", "hi2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     within = nodes.where("words > 0").join(heads, ["lo", "hi"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     pairs = stored(across.unionByName(within), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(rows.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    read = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    # joins that carry texts are shuffled at every size, as they must be at a large one
+    texts = stored(squeezed(rows).join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("raw").alias("raw")), "texts")
+    read = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("raw").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("raw").alias("tb")), "b").select("a", "b", "ta", "tb")
     roots = stored(connected_components(read.mapInArrow(_jaccard(similarity, n), "a bigint, b bigint")), "roots")
     named = nodes.select("t1", "t2", "node").join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("class_id"))
     return prints.select("doc_id", "t1", "t2").join(named, ["t1", "t2"])
@@ -243,7 +277,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     near = stored(near_duplicates(docs.where(F.col("doc_id").isNotNull()), **options), "classes")
     kept = near.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, F.col("doc_id").cast(T.LongType()) == F.col("_kept"), "left_semi")
+    stay = docs.join(kept.hint("merge"), F.col("doc_id").cast(T.LongType()) == F.col("_kept"), "left_semi")
     if not near.groupBy("doc_id", "t1", "t2").count().where("count > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id", "text"])
     return stay.unionByName(docs.where(F.col("doc_id").isNull()))

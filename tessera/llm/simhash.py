@@ -202,28 +202,87 @@ def _wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key << 36 | hi[row] & ((1 << 36) - 1)), pa.array(lo[row] << 10 | hi[row] >> 36)], names=["x", "y"])
 
 
+def _buckets(batches: Iterator[pa.RecordBatch], names: list[str], by: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted rows in pieces that end where a bucket ends; the first `by` columns name the bucket."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch[c].to_numpy() for c in names]
+        held = [np.concatenate(c) for c in zip(held, rows)] if held else rows
+        other = np.flatnonzero(np.any([c != c[-1] for c in held[:by]], axis=0))
+        if len(other):
+            yield [c[: other[-1] + 1] for c in held]
+            held = [c[other[-1] + 1 :] for c in held]
+    if held:
+        yield held
+
+
+def _places(by: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by bucket: each one's place in its bucket, and the bucket's size."""
+    new = np.append(True, np.any([c[1:] != c[:-1] for c in by], axis=0))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(new)))
+    return np.arange(len(new)) - np.repeat(first, size), np.repeat(size, size)
+
+
+#: Members of a bucket that are all compared at once; in a fuller one all wait for the second pass. Members of a block there.
+CROWDED, BLOCK = 64, 4096
+PAIR = "lo bigint, hi bigint, lo2 bigint, hi2 bigint"
+
+
 def _wide_pairs(bits: int):
-    """Rows sorted by key: each fingerprint with the first of its key and with the one before it, if they are within `bits` bits."""
+    """Rows sorted by key: each fingerprint with the first of its key and with the one before it, if they are within `bits` bits.
+
+    Members that are as close to yet another one wait for it, with their key, in rows without a pair: as many rows as members,
+    however large a group of copies is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = last = None
-        for batch in batches:
-            x, y = batch["x"].to_numpy(), batch["y"].to_numpy()
-            if not len(x):
-                continue
-            key, lo, hi = x >> 36, y >> 10, (y & 1023) << 36 | x & ((1 << 36) - 1)
-            if last is not None:  # the first and the last of the key that the batch before ended in
-                key, lo, hi = (np.concatenate([[a, b], c]) for a, b, c in zip(head, last, (key, lo, hi)))
-            new = np.append(True, key[1:] != key[:-1])
-            at = np.arange(len(key))
-            first = np.maximum.accumulate(np.where(new, at, 0))
-            for other in (first, np.where(new, at, at - 1)):
-                near = np.bitwise_count(lo ^ lo[other]) + np.bitwise_count(hi ^ hi[other])
-                own = np.flatnonzero((near > 0) & (near <= bits))
-                pair = np.unique(np.stack([lo[own], hi[own], lo[other[own]], hi[other[own]]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pair.T.copy()] if len(pair) else [pa.array([], pa.int64())] * 4, names=["lo", "hi", "lo2", "hi2"])
-            k = int(first[-1])
-            head, last = (key[k], lo[k], hi[k]), (key[-1], lo[-1], hi[-1])
+        keyed = (pa.RecordBatch.from_arrays([pa.array(b["x"].to_numpy() >> 36), b["x"], b["y"]], names=["key", "x", "y"]) for b in batches)
+        for key, x, y in _buckets(keyed, ["key", "x", "y"], 1):
+            lo, hi = y >> 10, (y & 1023) << 36 | x & ((1 << 36) - 1)
+            place, size = _places([key])
+            waits = size > CROWDED
+
+            def near(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+                return np.bitwise_count(lo[own] ^ lo[other]) + np.bitwise_count(hi[own] ^ hi[other]) <= bits
+
+            own = np.flatnonzero(place > 0)
+            for other in (own - place[own], own - 1):
+                ok = near(own, other)
+                pair = np.unique(np.stack([lo[own[ok]], hi[own[ok]], lo[other[ok]], hi[other[ok]]], 1), axis=0)
+                none = pa.nulls(len(pair), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, *(pa.array(c) for c in pair.T.copy())], names=["key", "lo", "hi", "lo2", "hi2"])
+            # those before the one before and after the first
+            own = np.flatnonzero((place > 2) & (size <= CROWDED))
+            back = 2
+            while len(own):
+                ok = own[near(own, own - back)]
+                waits[ok] = waits[ok - back] = True
+                back += 1
+                own = own[place[own] > back]
+            none = pa.nulls(int(waits.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key[waits]), pa.array(lo[waits]), pa.array(hi[waits]), none, none], names=["key", "lo", "hi", "lo2", "hi2"])
+
+    return run
+
+
+def _other_pairs(bits: int):
+    """Rows sorted by key, i, j: all pairs of a bucket's members (of its blocks i and j) that are within `bits` bits and not known to be of one class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, i, j, block, lo, hi, least, most in _buckets(batches, ["key", "i", "j", "block", "lo", "hi", "least", "most"], 3):
+            place, _ = _places([key, i, j])
+            own, back = np.flatnonzero(place > 0), 1
+            while len(own):
+                other = own - back
+                ok = (np.bitwise_count(lo[own] ^ lo[other]) + np.bitwise_count(hi[own] ^ hi[other]) <= bits) & ((i[own] == j[own]) | (block[own] != block[other]))
+                ok &= np.minimum(least[own], least[other]) != np.maximum(most[own], most[other])
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (lo[own[ok]], hi[own[ok]], lo[other[ok]], hi[other[ok]])], names=["lo", "hi", "lo2", "hi2"])
+                back += 1
+                own = own[place[own] >= back]
 
     return run
 
@@ -244,8 +303,9 @@ def _jaccard(most: float, n: int):
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5, bits: int = 24) -> DataFrame:
     """(doc_id, t1, t2, class_id): documents joined by verified likeness of n-word shingle sets, or by equal words.
 
-    Distinct word sequences are the nodes. Their wide SimHashes meet by Golay keys of two segments; in each bucket every
-    fingerprint is paired with two of its members only, which are others in other buckets; pairs within `bits` bits are verified on whole texts.
+    Distinct word sequences are the nodes. Their wide SimHashes meet by Golay keys of two segments. In each bucket every
+    fingerprint is first paired with two members; pairs within `bits` bits are verified on whole texts. All other pairs of a bucket follow
+    where their classes then differ, so that no close pair is left out and a large group of copies isn't multiplied out.
     class_id is the smallest doc_id of the class. Null and empty texts have no words and form one class. Other columns are ignored.
     """
     rows = rows_of(docs, doc_id="bigint", text="string")
@@ -255,19 +315,45 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5, bits:
     keys = sets.mapInArrow(_wide_keys, "x bigint, y bigint")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.shiftright("x", 36)
-    met = keys.repartition(parts, key).sortWithinPartitions(key, F.xxhash64("x", "y")).mapInArrow(_wide_pairs(bits), "lo bigint, hi bigint, lo2 bigint, hi2 bigint").distinct()
+    sorted_keys = keys.repartition(parts, key).sortWithinPartitions(key, F.xxhash64("x", "y"))
+    met = stored(sorted_keys.mapInArrow(_wide_pairs(bits), f"key bigint, {PAIR}"), "met")
+    pairs = met.where("key IS NULL").select("lo", "hi", "lo2", "hi2").distinct()
     # one text stands for each fingerprint; texts with equal fingerprints are compared with it
     heads = nodes.where("words > 0").groupBy("lo", "hi").agg(F.min("node").alias("head"))
-    across = met.join(heads, ["lo", "hi"]).withColumnRenamed("head", "a").join(heads.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("head").alias("b")), ["lo2", "hi2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = pairs.join(heads, ["lo", "hi"]).withColumnRenamed("head", "a").join(heads.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("head").alias("b")), ["lo2", "hi2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     within = nodes.where("words > 0").join(heads, ["lo", "hi"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    pairs = stored(across.unionByName(within), "pairs")
+    links = _verified(rows, stored(across.unionByName(within), "pairs"), similarity, n)
+    roots = stored(connected_components(links), "roots")
+    more = _left_over(met, heads, roots, bits, parts)
+    if not more.isEmpty():
+        links = links.unionByName(_verified(rows, more, similarity, n))
+        roots = stored(connected_components(links), "roots")
+    named = nodes.select("t1", "t2", "node").join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("class_id"))
+    return prints.select("doc_id", "t1", "t2").join(named, ["t1", "t2"])
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, similarity: float, n: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts are alike."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # joins that carry texts are shuffled at every size, as they must be at a large one
     texts = stored(squeezed(rows).join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("raw").alias("raw")), "texts")
     read = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("raw").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("raw").alias("tb")), "b").select("a", "b", "ta", "tb")
-    roots = stored(connected_components(read.mapInArrow(_jaccard(similarity, n), "a bigint, b bigint")), "roots")
-    named = nodes.select("t1", "t2", "node").join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("class_id"))
-    return prints.select("doc_id", "t1", "t2").join(named, ["t1", "t2"])
+    return stored(read.mapInArrow(_jaccard(similarity, n), "a bigint, b bigint"), "alike")
+
+
+def _left_over(met: DataFrame, heads: DataFrame, roots: DataFrame, bits: int, parts: int) -> DataFrame:
+    """(a, b): close members of a bucket that the first pass didn't compare and whose classes differ after it.
+
+    Buckets of one class have none left. Large ones are dealt out in blocks, each two of which meet.
+    """
+    classes = heads.join(roots, F.col("head") == F.col("node"), "left").select("lo", "hi", F.coalesce("root", "head").alias("root"))
+    waits = stored(met.where("key IS NOT NULL").select("key", "lo", "hi").join(classes, ["lo", "hi"]).select("key", "lo", "hi", F.col("root").alias("least"), F.col("root").alias("most")), "waits")
+    open_ = waits.groupBy("key").agg(F.min("least").alias("x"), F.max("most").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y").select("key", "blocks")
+    dealt = waits.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("lo", "hi"), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "block", "lo", "hi", "least", "most")
+    pairs = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_other_pairs(bits), PAIR).distinct()
+    other = heads.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("head").alias("b"))
+    return stored(pairs.join(heads.withColumnRenamed("head", "a"), ["lo", "hi"]).join(other, ["lo2", "hi2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

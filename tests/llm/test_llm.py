@@ -296,6 +296,42 @@ def test_near_duplicates_stage(docs, texts, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def shared_keys(texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    wide = next(iter(simhash._wide(iter([batch]))))
+    rows = [set() for _ in texts]
+    place = {}
+    for k, (lo, hi) in enumerate(zip(wide["lo"].to_pylist(), wide["hi"].to_pylist())):
+        place.setdefault((lo, hi), []).append(k)
+    for keys in simhash._wide_keys(iter([wide])):
+        for x, y in zip(keys["x"].to_pylist(), keys["y"].to_pylist()):
+            for k in place[y >> 10, (y & 1023) << 36 | x & ((1 << 36) - 1)]:
+                rows[k].add(x >> 36)
+    return rows, list(zip(wide["lo"].to_pylist(), wide["hi"].to_pylist()))
+
+
+def test_all_members_of_a_crowded_bucket_meet(spark):
+    rng = random.Random(12)
+    word = lambda k: f"w{k}"
+    common = [word(k) for k in range(120)]
+    out = []
+    for k in range(150):
+        # the common words in blocks of another order each, so that documents are close in words and far apart in shingles
+        line = rng.sample(common, len(common)) + [word(rng.randrange(1000, 900_000)) for _ in range(14)]
+        out.append(" ".join(line))
+        changed = line[:]
+        changed[-13:] = [word(rng.randrange(1000, 900_000)) for _ in range(13)]
+        out.append(" ".join(changed))
+    rng.shuffle(out)
+    keys, prints = shared_keys(out)
+    shingles = [frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, out)]
+    near = {r.doc_id: r.class_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(out)), "doc_id bigint, text string")).collect()}
+    want = [(i, j) for i in range(len(out)) for j in range(i) if keys[i] & keys[j] and sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= 24 and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    assert len(want) > 100 and all(near[i] == near[j] for i, j in want)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in connected_components(links).collect()}

@@ -272,7 +272,7 @@ def _other_pairs(bits: int):
     """Rows sorted by key, i, j: all pairs of a bucket's members (of its blocks i and j) that are within `bits` bits and not known to be of one class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, i, j, block, lo, hi, least, most in _buckets(batches, ["key", "i", "j", "block", "lo", "hi", "least", "most"], 3):
+        for key, i, j, block, lo, hi, node, least, most in _buckets(batches, ["key", "i", "j", "block", "lo", "hi", "node", "least", "most"], 3):
             place, _ = _places([key, i, j])
             own, back = np.flatnonzero(place > 0), 1
             while len(own):
@@ -280,7 +280,9 @@ def _other_pairs(bits: int):
                 ok = (np.bitwise_count(lo[own] ^ lo[other]) + np.bitwise_count(hi[own] ^ hi[other]) <= bits) & ((i[own] == j[own]) | (block[own] != block[other]))
                 ok &= np.minimum(least[own], least[other]) != np.maximum(most[own], most[other])
                 if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (lo[own[ok]], hi[own[ok]], lo[other[ok]], hi[other[ok]])], names=["lo", "hi", "lo2", "hi2"])
+                    x, y = own[ok], other[ok]
+                    columns = (lo[x], hi[x], lo[y], hi[y], np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["lo", "hi", "lo2", "hi2", "a", "b"])
                 back += 1
                 own = own[place[own] >= back]
 
@@ -318,13 +320,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, n: int = 5, bits:
     sorted_keys = keys.repartition(parts, key).sortWithinPartitions(key, F.xxhash64("x", "y"))
     met = stored(sorted_keys.mapInArrow(_wide_pairs(bits), f"key bigint, {PAIR}"), "met")
     pairs = met.where("key IS NULL").select("lo", "hi", "lo2", "hi2").distinct()
-    # one text stands for each fingerprint; texts with equal fingerprints are compared with it
+    # one text stands for each fingerprint, and texts with equal fingerprints are compared with it; the others of both follow
     heads = nodes.where("words > 0").groupBy("lo", "hi").agg(F.min("node").alias("head"))
     across = pairs.join(heads, ["lo", "hi"]).withColumnRenamed("head", "a").join(heads.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("head").alias("b")), ["lo2", "hi2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     within = nodes.where("words > 0").join(heads, ["lo", "hi"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = _verified(rows, stored(across.unionByName(within), "pairs"), similarity, n)
     roots = stored(connected_components(links), "roots")
-    more = _left_over(met, heads, roots, bits, parts)
+    more = _left_over(rows, met, nodes, roots, bits, parts, similarity, n)
     if not more.isEmpty():
         links = links.unionByName(_verified(rows, more, similarity, n))
         roots = stored(connected_components(links), "roots")
@@ -341,19 +343,54 @@ def _verified(rows: DataFrame, pairs: DataFrame, similarity: float, n: int) -> D
     return stored(read.mapInArrow(_jaccard(similarity, n), "a bigint, b bigint"), "alike")
 
 
-def _left_over(met: DataFrame, heads: DataFrame, roots: DataFrame, bits: int, parts: int) -> DataFrame:
-    """(a, b): close members of a bucket that the first pass didn't compare and whose classes differ after it.
+def _left_over(rows: DataFrame, met: DataFrame, nodes: DataFrame, roots: DataFrame, bits: int, parts: int, similarity: float, n: int) -> DataFrame:
+    """(a, b): close texts that the first pass didn't compare and whose classes differ after it.
 
-    Buckets of one class have none left. Large ones are dealt out in blocks, each two of which meet.
+    Heads are paired in the buckets in which their fingerprints wait. Where a fingerprint of several texts is close to one of another
+    class, or has two classes itself, all texts of both meet by the shingles of which alike sets have one in common.
     """
-    classes = heads.join(roots, F.col("head") == F.col("node"), "left").select("lo", "hi", F.coalesce("root", "head").alias("root"))
-    waits = stored(met.where("key IS NOT NULL").select("key", "lo", "hi").join(classes, ["lo", "hi"]).select("key", "lo", "hi", F.col("root").alias("least"), F.col("root").alias("most")), "waits")
-    open_ = waits.groupBy("key").agg(F.min("least").alias("x"), F.max("most").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y").select("key", "blocks")
-    dealt = waits.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("lo", "hi"), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "block", "lo", "hi", "least", "most")
-    pairs = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_other_pairs(bits), PAIR).distinct()
-    other = heads.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("head").alias("b"))
-    return stored(pairs.join(heads.withColumnRenamed("head", "a"), ["lo", "hi"]).join(other, ["lo2", "hi2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    members = nodes.where("words > 0").join(roots, "node", "left").select("lo", "hi", "node", F.coalesce("root", "node").alias("root"))
+    prints = stored(members.groupBy("lo", "hi").agg(F.min("node").alias("head"), F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("of")), "prints")
+    waits = met.where("key IS NOT NULL").select("key", "lo", "hi").join(prints, ["lo", "hi"]).select("key", "lo", "hi", F.col("head").alias("node"), "least", "most")
+    first = _paired(waits, bits, parts)
+    ends = first.select("lo", "hi", "lo2", "hi2").unionByName(met.where("key IS NULL").select("lo", "hi", "lo2", "hi2"))
+    ends = ends.unionByName(ends.select(F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))).distinct()
+    several = prints.where("of > 1").select("lo", "hi", "least", "most")
+    other = prints.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    apart = ends.join(several, ["lo", "hi"]).join(other, ["lo2", "hi2"]).where(F.least("least", "least2") != F.greatest("most", "most2"))
+    mixed = several.where("least <> most").select("lo", "hi").unionByName(apart.select("lo", "hi")).unionByName(apart.select(F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))).distinct()
+    asked = stored(members.join(mixed, ["lo", "hi"]), "asked")
+    found = first.select("a", "b")
+    if not asked.isEmpty():
+        raw = squeezed(rows).join(asked.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("raw").alias("raw"))
+        keyed = raw.mapInArrow(_prefixes(similarity, n), "key bigint, node bigint").join(asked, "node")
+        found = found.unionByName(_paired(keyed.select("key", "lo", "hi", "node", F.col("root").alias("least"), F.col("root").alias("most")), bits, parts).select("a", "b"))
+    return stored(found.distinct(), "pairs")
+
+
+def _paired(waits: DataFrame, bits: int, parts: int) -> DataFrame:
+    """(lo, hi, lo2, hi2, a, b) of all close members of a key whose classes differ: waits has key, lo, hi, node, least, most.
+
+    Keys of one class have none. Large ones are dealt out in blocks, each two of which meet.
+    """
+    waits = stored(waits, "waits")
+    apart = waits.groupBy("key").agg(F.min("least").alias("x"), F.max("most").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y").select("key", "blocks")
+    dealt = waits.join(apart, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "block", "lo", "hi", "node", "least", "most")
+    return stored(dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_other_pairs(bits), f"{PAIR}, a bigint, b bigint").distinct(), "close")
+
+
+def _prefixes(most: float, n: int):
+    """Shingles of a text, in the order of their hashes, of which any set with a likeness of `most` has one among its own such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch["doc_id"].to_pylist(), opened(batch["raw"])):
+                h = np.unique(shingle_hashes(words_of(text), n))
+                h = h[: len(h) - int(np.ceil(most * len(h) - 1e-9)) + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), node, np.int64))], names=["key", "node"])
+
+    return run
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

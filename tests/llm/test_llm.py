@@ -332,6 +332,21 @@ def test_all_members_of_a_crowded_bucket_meet(spark):
     assert len(want) > 100 and all(near[i] == near[j] for i, j in want)
 
 
+def test_texts_of_one_fingerprint_meet(spark):
+    rng = random.Random(31)
+    out = []
+    for g in range(8):
+        line = [f"g{g}w{k}" for k in range(200)]
+        a, b = rng.sample(line, 200), rng.sample(line, 200)
+        swapped, changed = b[:], b[:]
+        swapped[90], swapped[91] = swapped[91], swapped[90]
+        changed[50] = f"g{g}other"
+        # the head has the words of the others in another order; the last is of a fingerprint next to theirs
+        out += [" ".join(x) for x in (a, b, swapped, changed)]
+    near = {r.doc_id: r.class_id for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(out)), "doc_id bigint, text string")).collect()}
+    assert near == {k: k if k % 4 == 0 else k - k % 4 + 1 for k in range(32)}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in connected_components(links).collect()}

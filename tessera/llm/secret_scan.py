@@ -32,8 +32,8 @@ PLACEHOLDER = re.compile(r"(?i)your|example|sample|dummy|placeholder|change.?me|
 CANDIDATE = re.compile(
     rf"(?P<pem>-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----.*?(?:-----END [A-Z ]{{0,30}}PRIVATE KEY-----|\Z))"
     rf"|(?P<known>(?<![A-Za-z0-9])(?:{PREFIXES}))"
-    rf"|(?<![A-Za-z0-9])(?i:{NAMES})(?:[_-][A-Za-z0-9_-]{{1,30}})?[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}(?:[Bb]earer )?[\"']?(?P<assigned>[^\s\"',;|&#]{{6,400}})"
-    rf"|(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{{0,40}}[0-9])(?P<bare>[A-Za-z0-9+/_-]{{20,}}={{0,2}})",
+    rf"|(?<![A-Za-z0-9])(?i:{NAMES})(?:[_-][A-Za-z0-9_-]{{1,30}})?[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}(?:[Bb]earer )?[\"']?(?P<assigned>[^\s\"',;|&#]{{6,}})"
+    rf"|(?<![A-Za-z0-9+/_=.-])(?P<bare>[A-Za-z0-9+/_-]{{20,}}={{0,2}})",
     re.S,
 )
 WORD = re.compile(r"[A-Za-z]+")
@@ -87,7 +87,7 @@ def features(value: str, before: str, after: str, kind: str) -> list[float]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, str, str]]:
-    """(start, value, kind) of each candidate of the whole text; bare ones need three digits and three letters."""
+    """(start, value, kind) of each candidate of the whole text."""
     for m in CANDIDATE.finditer(text):
         kind = m.lastgroup
         value = m[kind]
@@ -96,8 +96,6 @@ def candidates(text: str) -> Iterator[tuple[int, str, str]]:
             value = value.rstrip(").]}!?*%$&")
             if len(value) < 6:
                 continue
-        if kind == "bare" and (sum(c.isdigit() for c in value) < 3 or sum(c.isalpha() for c in value) < 3):
-            continue
         yield start, value, kind
 
 
@@ -172,7 +170,7 @@ def made_findings(n: int = 4_000, seed: int = 17) -> list[tuple[str, int]]:
         lambda: assign(value()).upper() if r.random() < 0.3 else assign(value()),
         lambda: r.choice(["AKIA" + chars(string.ascii_uppercase + string.digits, 16), "ghp_" + chars(alnum, 36), "sk-" + chars(alnum, 48), "xoxb-" + chars(string.digits, 12) + "-" + chars(alnum, 24), "AIza" + chars(alnum, 35), "glpat-" + chars(alnum, 20)]),
         lambda: "eyJ" + chars(alnum, 30) + "." + chars(alnum, 60) + "." + chars(alnum, 43),
-        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(chars(alnum + "+/", 64) for _ in range(6)) + "\n-----END RSA PRIVATE KEY-----",
+        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(chars(alnum + "+/", r.choice([3, 20, 64])) for _ in range(r.choice([1, 2, 6]))) + "\n-----END RSA PRIVATE KEY-----",
         lambda: "Authorization: Bearer " + chars(alnum, 40),
         lambda: r.choice(keys) + " " + chars(alnum, 40),
     ]
@@ -188,6 +186,10 @@ def made_findings(n: int = 4_000, seed: int = 17) -> list[tuple[str, int]]:
         lambda: "-".join([word(), word(), word(), chars(string.digits, 4), word()]),
         lambda: "img_" + chars(string.digits, 8) + "_" + word() + "_" + word() + "_large",
         lambda: word() + "_" + word() + "_v" + chars(string.digits, 3) + "_" + word() + word(),
+        lambda: "".join(word().title() for _ in range(r.randint(4, 7))),
+        lambda: word() + "".join(word().title() for _ in range(r.randint(3, 6))),
+        lambda: "".join(word() for _ in range(r.randint(4, 8))),
+        lambda: r.choice(string.ascii_letters) * r.randint(20, 60),
         lambda: "serial " + chars(string.ascii_uppercase, 3) + "-" + "-".join(chars(string.digits, 5) for _ in range(4)),
     ]
     out = []

@@ -166,6 +166,24 @@ def test_forest_on_findings_it_has_not_seen():
     assert np.mean(right) > 0.93
 
 
+def test_long_secrets_and_keys_with_few_digits_are_found_whole():
+    rng, forest = random.Random(6), secret_scan.trained()
+    chars = lambda k, alphabet="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choices(alphabet, k=k))
+
+    def whole(line, value):
+        return any(line[a : a + n] == value and score >= 0.5 for a, n, _, score in secret_scan.spans(line, forest))
+
+    for part in (200, 600, 5_000):
+        jwt = f"eyJ{chars(40)}.{chars(part)}.{chars(86)}"
+        assert whole(f"token: {jwt} end", jwt)
+    found = [whole(f"use {v} here", v) for k in (20, 24, 32) for v in (chars(k) for _ in range(200))]
+    assert np.mean(found) > 0.97
+    few = [whole(f"use {v} here", v) for v in (chars(30, "bcdfghjkQRSTVWXZ") + "7" for _ in range(100))]
+    assert np.mean(few) > 0.9
+    for text in ("getElementByIdAndClassName", "ThisIsAVeryLongCamelCaseName", "Rechtsschutzversicherungsgesellschaften", "internationalization_of_things", "-" * 40, "A" * 26):
+        assert not whole(f"the {text} of", text)
+
+
 @needs_data
 def test_mixing_against_sql(spark):
     con = duckdb.connect()

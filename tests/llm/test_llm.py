@@ -433,6 +433,11 @@ def test_repeated_runs_of_a_host_go(spark):
     assert got == {0: own[0], 1: own[1], 2: own[2], 3: f"{slogan}\n{own[3]}", 9: slogan}
 
 
+def test_slugs_inside_an_article_stay():
+    page = '<article><h2 id="related-work" class="search">Related work</h2><p id="cookie-laws">On cookies</p><section class="share-prices"><p>Prices</p></section><div class="ad">Buy</div><div role="search">Find</div></article>'
+    assert [t for t, p, off in extraction.blocks(page) if not off] == ["Related work", "On cookies", "Prices"]
+
+
 @needs_data
 def test_articles_of_the_pages(spark):
     import html

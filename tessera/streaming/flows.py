@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,24 +36,38 @@ def tumbling(events: DataFrame, size: str, slide: str | None = None, late: str |
     return rows.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), "event_type", "n")
 
 
-def within_budget(costs: Column, budget: float) -> Column:
-    """Of costs in order, which are accepted: one that would exceed the budget is rejected and doesn't count."""
-    step = lambda acc, c: F.struct((acc["spent"] + F.when(acc["spent"] + c <= budget, c).otherwise(0.0)).alias("spent"), F.concat(acc["taken"], F.array(acc["spent"] + c <= budget)).alias("taken"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<boolean>").alias("taken"))
-    return F.aggregate(costs, start, step, lambda acc: acc["taken"])
-
-
 def budgets(events: DataFrame, budget: float) -> DataFrame:
-    """(user_id, accepted, rejected, spent) by folding a user's costs in order of time."""
-    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    costs = F.transform("e", lambda x: F.coalesce(x["value"], F.lit(0.0)))
-    taken = rows.select("user_id", costs.alias("costs"), within_budget(costs, budget).alias("taken"))
-    spent = F.aggregate(F.zip_with("costs", "taken", lambda c, t: F.when(t, c).otherwise(0.0)), F.lit(0.0), lambda a, c: a + c)
-    return taken.select("user_id", F.size(F.filter("taken", lambda t: t)).cast("bigint").alias("accepted"), F.size(F.filter("taken", lambda t: ~t)).cast("bigint").alias("rejected"), spent.alias("spent"))
-
-
-def budget_stream(events: DataFrame, budget: float) -> DataFrame:
-    """The same over a stream: state holds what a user has spent, and goes after a day without events."""
+    """(user_id, accepted, rejected, spent) by folding a user's costs in order of time: one that would exceed the budget is rejected and doesn't count.
+
+    The fold depends on the order, so a user's events pass through one task; they are read as a sorted stream, and only three
+    numbers of the current user are held. Null values cost nothing; a null user_id is a user like any other; no events: no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["user_id", "accepted", "rejected", "spent"])
+
+        user, began, accepted, rejected, spent = None, False, 0, 0, 0.0
+        for batch in batches:
+            rows = []
+            for u, cost in zip(batch["user_id"].to_pylist(), batch["value"].to_pylist()):
+                if began and u != user:
+                    rows.append((user, accepted, rejected, spent))
+                    accepted, rejected, spent = 0, 0, 0.0
+                user, began, cost = u, True, cost or 0.0
+                fits = spent + cost <= budget
+                spent, accepted, rejected = spent + cost * fits, accepted + int(fits), rejected + int(not fits)
+            yield out(rows)
+        if began:
+            yield out([(user, accepted, rejected, spent)])
+
+    rows = events.select(F.col("user_id").cast("bigint").alias("user_id"), "ts", "event_id", F.col("value").cast("double").alias("value"))
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "value").mapInArrow(run, "user_id bigint, accepted bigint, rejected bigint, spent double")
+
+
+def budget_stream(events: DataFrame, budget: float, late: str = "1 day") -> DataFrame:
+    """The same over a stream: state holds what a user has spent, and goes once the watermark is a day past the user's last event."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -60,14 +75,15 @@ def budget_stream(events: DataFrame, budget: float) -> DataFrame:
             return
         spent, accepted, rejected = state.get if state.exists else (0.0, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        last = int(rows["ts"].max().timestamp() * 1000)
         for cost in rows["value"].fillna(0.0):
             fits = spent + cost <= budget
             spent, accepted, rejected = spent + cost * fits, accepted + int(fits), rejected + int(not fits)
         state.update((spent, accepted, rejected))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 86_400_000)
         yield pd.DataFrame({"user_id": [key[0]], "accepted": [accepted], "rejected": [rejected], "spent": [spent]})
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, accepted bigint, rejected bigint, spent double", "spent double, accepted bigint, rejected bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(run, "user_id bigint, accepted bigint, rejected bigint, spent double", "spent double, accepted bigint, rejected bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def deltas(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):

@@ -175,22 +175,26 @@ def test_upsert_reports_loss(spark):
     assert (one[0], one[1]) == (900, 100)
 
 
+def settled(q):
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00", "view", 60.0), (2, 1, "2024-01-01 00:10:00", "view", 60.0), (3, 1, "2024-01-01 02:00:00", "click", 30.0), (4, 2, "2024-01-03 00:00:00", "odd", 1.0)], "event_id long, user_id long, t string, event_type string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     q = flows.budget_stream(stream, 100.0).writeStream.outputMode("update").format("memory").queryName("budget").option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.processAllAvailable()
-    q.stop()
+    settled(q)
     batch = {r.user_id: (r.accepted, r.rejected, r.spent) for r in flows.budgets(events, 100.0).collect()}
     assert {r.user_id: (r.accepted, r.rejected, r.spent) for r in spark.table("budget").collect()} == batch == {1: (2, 1, 90.0), 2: (1, 0, 1.0)}
     assert flows.sessions(events).count() == 3
     q = flows.usage(stream, "1 day").writeStream.outputMode("complete").format("memory").queryName("usage").option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.processAllAvailable()
-    q.stop()
+    settled(q)
     assert {(r.event_type, r.n) for r in spark.table("usage").collect()} == {(r.event_type, r.n) for r in flows.usage(events).collect()} == {("view", 2), ("click", 1)}
     seen = {}
     q = flows.deltas(stream, lambda df, k: seen.setdefault(k, df.count()), str(tmp_path / "c3"))
-    q.processAllAvailable()
-    q.stop()
+    settled(q)
     assert sum(seen.values()) == 4

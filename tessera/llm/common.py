@@ -13,20 +13,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share; a temporary one only where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir, which all machines share; where it is unset, a temporary one in local mode (tests), and an error on a cluster."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not there:
-        there = spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "checkpoints")
+        there = os.path.join(tempfile.gettempdir(), "checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
+    return _written(df, name)[0]
+
+
+def _gone(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, in whatever store it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def rows_of(df: DataFrame, **columns: str) -> DataFrame:
@@ -41,9 +53,11 @@ def squeezed(rows: DataFrame) -> DataFrame:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            raw = [None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(raw, pa.binary())], names=["doc_id", "raw"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):  # a few texts at a time
+                batch = whole.slice(k, 500)
+                raw = [None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(raw, pa.binary())], names=["doc_id", "raw"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id bigint, raw binary")
 
@@ -60,12 +74,12 @@ def connected_components(links: DataFrame, kind: str = "bigint") -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node that can be reached.
 
     Minimum labels spread along links and each round also jumps to the label of the label, so a chain of n
-    nodes takes about log n rounds. Every round is written to the shared folder. Nothing is collected but the
+    nodes takes about log n rounds. Every round is written to the shared folder and the one before it deleted. Nothing is collected but the
     number of changed labels. No links: an empty table.
     """
     a, b = F.col("a").cast(kind), F.col("b").cast(kind)
     links = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    links = stored(links, "links")
+    links, path = _written(links, "links")
     while True:
         # the larger end of each link points at the smallest neighbour of its star; smaller neighbours are linked to that too
         least = links.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("m"))
@@ -76,9 +90,10 @@ def connected_components(links: DataFrame, kind: str = "bigint") -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        grown = stored(_small_star(grown), "links")
+        grown, next_path = _written(_small_star(grown), "links")
         same = links.join(grown, ["a", "b"], "left_anti").isEmpty() and grown.join(links, ["a", "b"], "left_anti").isEmpty()
-        links = grown
+        _gone(links.sparkSession, path)
+        links, path = grown, next_path
         if same:
             break
     roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))

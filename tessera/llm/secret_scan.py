@@ -29,8 +29,11 @@ HARMLESS = set("commit sha sha1 sha256 md5 checksum digest hash etag uuid guid r
 HOT = set("token secret password passwd pwd apikey api key auth authorization bearer credential credentials private access client login".split())
 PLACEHOLDER = re.compile(r"(?i)your|example|sample|dummy|placeholder|change.?me|insert|redacted|x{5,}|\*{3,}|^[<${%]|^(.)\1+$|^(?:0?1?2345678|abcdef)")
 
+#: A key block: its header and, line by line (line ends may be written out), fields or key text up to its end; without an end, as much as looks like key text.
+LINE = r"(?:\s|\\[nr])"
+PEM = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:(?:{LINE}+(?:[A-Z][A-Za-z-]*: [^\n]*|[A-Za-z0-9+/=]+))+{LINE}*-----END [A-Z ]{{0,30}}PRIVATE KEY-----|(?:{LINE}+[A-Za-z0-9+/]{{16,}}={{0,2}})+)"
 CANDIDATE = re.compile(
-    rf"(?P<pem>-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----.*?(?:-----END [A-Z ]{{0,30}}PRIVATE KEY-----|\Z))"
+    rf"(?P<pem>{PEM})"
     rf"|(?P<known>(?<![A-Za-z0-9])(?:{PREFIXES}))"
     rf"|(?<![A-Za-z0-9])(?i:{NAMES})(?:[_-][A-Za-z0-9_-]{{1,30}})?[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}(?:[Bb]earer )?[\"']?(?P<assigned>[^\s\"',;|&#]{{6,}})"
     rf"|(?<![A-Za-z0-9+/_=.-])(?P<bare>[A-Za-z0-9+/_-]{{20,}}={{0,2}})",
@@ -225,7 +228,8 @@ FINDING = "doc_id bigint, start bigint, length bigint, kind string, value string
 def findings(docs: DataFrame, forest: Forest | None = None, least: float = 0.5) -> DataFrame:
     """(doc_id, start, length, kind, value, score, secret) of every candidate in every whole text; secret: score is `least` or more.
 
-    Places are code points. Null and empty texts have none; repeated rows are scanned each. Other columns are ignored.
+    Places are code points. Null and empty texts have none; repeated rows are scanned each, and rows without a doc_id as well. Values have
+    no upper length. An empty table gives no rows. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(forest or trained())
 

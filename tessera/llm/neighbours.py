@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by collision counting.
 
 Every vector is projected on m random lines. Each line keeps its projections as one sorted array; a query's window on a line is the stretch of
-that array within w * radius of the query's own projection. A vector collides with the query on the lines whose window
-holds it. Virtual rehashing widens all windows by a factor and counts again, until enough vectors have collided on `least` lines or more;
-these are verified by their true inner products on the original vectors.
+that array within a width of the query's own projection. A vector collides with the query on the lines whose window holds it:
+those on which its rank lies between the window's ends. Virtual rehashing widens all windows by a factor and counts again, until enough
+vectors have collided on `LEAST` lines or more; these are verified by their true inner products on the original vectors.
 """
 
 from __future__ import annotations
@@ -15,55 +15,56 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Lines, collisions that make a candidate, candidates wanted (a number and a share of the block), and the factor of each widening.
-LINES, LEAST, ENOUGH, SHARE, WIDER = 56, 34, 600, 0.18, 1.15
-BLOCK, QUERIES = 16_384, 4_096
+#: Lines, collisions that make a candidate, candidates wanted (a number and a share of the block), the first width in mean projections and the factor of each widening.
+LINES, LEAST, ENOUGH, SHARE, FIRST, WIDER = 192, 130, 200, 0.03, 1.1, 1.05
+#: Lines whose collisions are counted at once, as many as fit in a core's cache.
+SOME = 16
+#: Rows of a block (ranks have 16 bits) and queries of a turn.
+BLOCK, QUERIES = 8_192, 8_192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as array of double) of the vectors that take part: those null, zero or holding null or non-finite components don't.
-
-    Vectors of another length than the commonest one have no inner product with the rest and take no part either.
-    """
+    """(vec_id, embedding as array of double, size) of the vectors that take part: those null, zero or holding null or non-finite components don't, nor do rows without a vec_id."""
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.coalesce(fine & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-    sizes = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.where(F.size("embedding") == (sizes[0].n if sizes else 0))
+    return v.withColumn("size", F.size("embedding"))
 
 
 class Index:
     """Sorted projections of a block. Vectors are lengthened to one norm, so that the nearest by distance have the largest inner product."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float, seed: int = 7):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 7):
         self.ids, self.vectors = ids, vectors
         lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, LINES))
         self.lines = lines / np.linalg.norm(lines, axis=0)
-        rest = np.sqrt(np.maximum(norm**2 - (vectors**2).sum(1), 0))
-        at = vectors @ self.lines[:-1] + rest[:, None] * self.lines[-1]
-        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(at.T, self.order, axis=1)
-        self.norm, self.width = norm, norm / np.sqrt(vectors.shape[1] + 1) * 0.25
+        # scaled so that no square is too large
+        self.scale = max(np.abs(vectors).max(), 1e-300)
+        square = ((vectors / self.scale) ** 2).sum(1)
+        self.norm = np.sqrt(square.max())
+        at = (vectors / self.scale) @ self.lines[:-1] + np.sqrt(np.maximum(square.max() - square, 0))[:, None] * self.lines[-1]
+        order = np.argsort(at, axis=0, kind="stable").T
+        self.sorted = np.ascontiguousarray(np.take_along_axis(at.T, order, axis=1))
+        self.rank = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+        self.past, self.met = np.empty((SOME, len(ids)), np.uint16), np.empty((SOME, len(ids)), bool)
 
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that collide on LEAST lines once enough of them do (or all have been reached).
-
-        The first window is a little narrower than the last query's, and each wider one counts only what it adds.
-        """
+        """Rows that collide on LEAST lines once k + ENOUGH and SHARE of the block do, or all. Every query starts at the same width, so its result depends on the block alone."""
+        query = query / np.abs(query).max()
         at = (query * (self.norm / np.linalg.norm(query))) @ self.lines[:-1]
         n = len(self.ids)
-        want = min(n, k + ENOUGH + int(SHARE * n))
-        counts, width = np.zeros(n, np.int64), self.width / WIDER
-        lo = hi = [np.searchsorted(s, a) for s, a in zip(self.sorted, at)]
+        want, width = min(n, k + ENOUGH + int(SHARE * n)), FIRST * self.norm / np.sqrt(len(query) + 1)
         while True:
-            wider_lo = [np.searchsorted(s, a - width) for s, a in zip(self.sorted, at)]
-            wider_hi = [np.searchsorted(s, a + width, "right") for s, a in zip(self.sorted, at)]
-            met = [o[a:b] for o, a, b in zip(self.order, wider_lo, lo)] + [o[a:b] for o, a, b in zip(self.order, hi, wider_hi)]
-            counts += np.bincount(np.concatenate(met), minlength=n)
-            lo, hi = wider_lo, wider_hi
-            found = np.flatnonzero(counts >= LEAST)
+            lo = np.array([s.searchsorted(x) for s, x in zip(self.sorted, at - width)])
+            hi = np.array([s.searchsorted(x, "right") for s, x in zip(self.sorted, at + width)])
+            low, wide, count = lo.astype(np.uint16)[:, None], np.minimum(hi - lo, 65_535).astype(np.uint16)[:, None], np.zeros(n, np.uint8)
+            for j in range(0, LINES, SOME):
+                np.subtract(self.rank[j : j + SOME], low[j : j + SOME], out=self.past)  # below lo: wraps past hi
+                np.less(self.past, wide[j : j + SOME], out=self.met)
+                count += self.met.view(np.uint8).sum(0, dtype=np.uint8)
+            found = np.flatnonzero(count >= LEAST)
             if len(found) >= want:
-                self.width = width
                 return found
             width *= WIDER
 
@@ -80,25 +81,32 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every` its k largest inner products with other rows.
 
     All rows are indexed, in blocks of bounded size; blocks of queries meet blocks of rows, and each query keeps k of each
-    block, then k of all. Vectors that repeat tie and go by vec_id. Fewer than k others: all of them. Empty table: no rows.
+    block, then k of all. Vectors of different lengths have no inner product: each length is searched by itself. Vectors that repeat tie and
+    go by vec_id. Fewer than k others: all of them. Empty table: no rows. Other columns are ignored.
     """
     base = stored(usable(vectors), "vectors")
-    n, norm = base.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    # a row a length, so no more rows than the longest vector has components
+    sizes = base.groupBy("size").agg(F.count("*").alias("n"))
+    sizes = sizes.select("size", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / (every * QUERIES)).cast("int").alias("turns"))
+    base = base.join(F.broadcast(sizes), "size")
+    deal = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(m)).cast("int")
+    meet = lambda block, turn: F.concat_ws(" ", "size", block, turn).alias("meet")
+    rows = base.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(meet(deal("blocks", 1), F.col("turn")), "vec_id", F.col("embedding").alias("mine"))
     asked = base.where(F.col("vec_id") % every == 0)
-    blocks, turns = -(-n // BLOCK) or 1, -(-(n // every) // QUERIES) or 1
-    deal = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
-    rows = base.select(deal(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "vec_id", "embedding")
-    wanted = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), deal(turns, 2).alias("turn"), F.col("vec_id").alias("query_id"), "embedding")
+    wanted = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(meet(F.col("block"), deal("turns", 2)), F.col("vec_id").alias("query_id"), F.col("embedding").alias("theirs"))
 
     def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(mine) and len(theirs):
-            index = Index(mine.vec_id.to_numpy(), np.stack(mine.embedding.to_numpy()), norm)
-            for q, v in zip(theirs.query_id.to_numpy(), theirs.embedding):
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        # blocks are dealt by a hash and may be a little fuller than BLOCK; rows in one order, whatever order they came in
+        mine = mine.sort_values("vec_id", kind="stable")
+        for k0 in range(0, len(mine) if len(theirs) else 0, 1 << 15):
+            part = mine.iloc[k0 : k0 + (1 << 15)]
+            index = Index(part.vec_id.to_numpy(), np.stack(part.mine.to_numpy()))
+            for q, v in zip(theirs.query_id.to_numpy(), theirs.theirs):
                 ids, score = index.search(q, np.asarray(v), k)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append((np.full(len(ids), q), ids, score))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
-    found = rows.groupBy("block", "turn").cogroup(wanted.groupBy("block", "turn")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+    found = rows.groupBy("meet").cogroup(wanted.groupBy("meet")).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

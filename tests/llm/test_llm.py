@@ -308,6 +308,32 @@ def test_passages_against_brute_force(docs, texts, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_reaches_are_packed_without_an_upper_end():
+    reach = np.array([0, 1, 45, 2046, 2047, 2048, 65_535, 65_536, 123_457, 10**6 + 7, (1 << 28) - 1], np.int64)
+    code = passages.coarse(reach)
+    assert (code < 1 << passages.SIDE).all() and (passages.fine(code) >= reach).all() and (passages.fine(code) <= reach * 1.001 + 1).all()
+
+
+def test_passages_whose_halves_earlier_documents_hold(spark):
+    rng = random.Random(21)
+    filler = lambda k: [f"f{rng.randrange(10**6)}" for _ in range(k)]
+    out, want, edited = [], [], []
+    for g in range(150):
+        passage = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+        changed = passage[:]
+        changed[rng.randrange(20, 40)] = "edit"
+        # two documents hold a half each, the next two the whole, the last one an edit of it
+        out += [" ".join(filler(40) + x + filler(40)) for x in (passage[:30], passage[30:], passage, passage, changed)]
+        want.append((5 * g + 3, 5 * g + 2))
+        edited.append(5 * g + 4)
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(out)), "doc_id bigint, text string")).collect()
+    pairs, found = {(r.doc_id, r.first_doc) for r in rows}, {r.doc_id for r in rows}
+    recall, near = np.mean([p in pairs for p in want]), np.mean([d in found for d in edited])
+    print("recall of exact passages", recall, "of edited ones", near)
+    assert recall >= 0.97 and near >= 0.9
+    assert all(d % 5 > 2 for d in found)
+
+
 def test_golay_code_is_perfect():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 23, 500)

@@ -41,14 +41,16 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 
 def by_trigrams(nodes: DataFrame, index: DataFrame, query: str) -> DataFrame:
-    """Nodes whose name holds the query: those that have all its trigrams, then verified; under three letters by a scan."""
+    """Nodes whose name holds the query: the postings of its trigrams, filtered by gram, name the candidates, whose names alone are read; under three letters by a scan.
+
+    A name may hold all trigrams apart, so candidates are verified. Rows that share an id are verified each.
+    """
     q = query.lower()
-    holds = nodes.where(F.lower("name").contains(q))
     if len(q) < 3:
-        return holds
+        return nodes.where(F.lower("name").contains(q))
     grams = sorted({q[k : k + 3] for k in range(len(q) - 2)})
     ids = index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("id")
-    return holds.join(ids, "id", "left_semi")
+    return nodes.join(ids, "id", "left_semi").where(F.lower("name").contains(q))
 
 
 def layered(nodes: DataFrame, query: str, aliases: DataFrame, index: DataFrame, most: int = 200) -> DataFrame:
@@ -62,9 +64,14 @@ def layered(nodes: DataFrame, query: str, aliases: DataFrame, index: DataFrame,
     return rows.groupBy("id").agg(F.min_by("reason", "layer").alias("reason"))
 
 
-def link_score(label: Column, name: Column, symbols: Column, wanted: Column) -> Column:
-    """Weighted likeness of a mention and a node: label 0.4, symbols 0.3, words 0.3."""
+def overlap(x: Column, y: Column) -> Column:
+    """Common part of two lists' distinct items; of two empty ones 0."""
+    return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
+
+
+def link_score(label: Column, name: Column, symbols: tuple[Column, Column], definitions: tuple[Column, Column], domains: tuple[Column, Column]) -> Column:
+    """Weighted likeness of a mention and a node: label 0.4, symbols 0.1, words of the definitions 0.3, and 0.2 for the same domain."""
     a, b = F.lower(label), F.lower(name)
     close = 1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b), F.lit(1))
-    overlap = lambda x, y: F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
-    return F.lit(0.4) * close + F.lit(0.3) * overlap(symbols, wanted) + F.lit(0.3) * overlap(F.split(a, " "), F.split(b, " "))
+    words = overlap(*(F.split(F.lower(d), " ") for d in definitions))
+    return F.lit(0.4) * close + F.lit(0.1) * overlap(*symbols) + F.lit(0.3) * words + F.lit(0.2) * F.coalesce((domains[0] == domains[1]).cast("double"), F.lit(0.0))

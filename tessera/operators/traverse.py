@@ -18,11 +18,20 @@ from . import relations as R
 HARD = {"hops": 5, "nodes": 5_000, "edges": 20_000, "paths": 200}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    spark: SparkSession = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all machines share; where it is unset, a temporary one in local mode and an error on a cluster."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not there and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    there = there or os.path.join(tempfile.gettempdir(), "checkpoints")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        spark.sparkContext.setCheckpointDir(there)
+    return there.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -131,7 +131,7 @@ def _(g: Tables) -> DataFrame:
     return R.of_types(g.e, ["contains", "in_nation"], ["R", "cust"]).groupBy("type", "kind").agg(F.count("*").alias("n"))
 
 
-@query("fl5_endpoint_subjects", f"{NAMED_SQL} SELECT e.pos FROM e JOIN named s ON s.id = e.source JOIN named t ON t.id = e.target WHERE s.subject = '跨学科' AND t.subject = '化学' AND t.domain = 'chem.promo'", ("OR", "PA"), ("sparse",))
+@query("fl5_endpoint_subjects", f"{NAMED_SQL} SELECT e.pos FROM e JOIN named s ON s.id = e.source JOIN named t ON t.id = e.target WHERE s.subject = '跨学科' AND t.subject = '化学' AND t.domain = 'chem.promo'", ("OR", "PA"), ("contains",))
 def _(g: Tables) -> DataFrame:
     ends = R.with_ends(g.e, named(g.n), subject="subject", domain="domain")
     return ends.where("s_subject = '跨学科' AND t_subject = '化学' AND t_domain = 'chem.promo'").select("pos")
@@ -253,6 +253,11 @@ def _(g: Tables) -> DataFrame:
     return S.by_trigrams(g.n, S.postings(g.n), "red w").select("id", "name")
 
 
+@query("jn9_documents", "SELECT id FROM n WHERE contains(lower(name), 'tion')", DOCUMENTS)
+def _(g: Tables) -> DataFrame:
+    return S.by_trigrams(g.n, S.postings(g.n), "tion").select("id")
+
+
 @query("jn10_dictionary", "SELECT DISTINCT 'PA:' || p_partkey AS id FROM part WHERE contains('which widget or ring is it', split_part(p_name, ' ', 2))")
 def _(g: Tables) -> DataFrame:
     words = g.table("part").select(F.concat(F.lit("PA:"), "p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("alias"))
@@ -395,7 +400,7 @@ def _(g: Tables) -> DataFrame:
     return R.top_per_group(d, ["domain"], [F.desc("degree"), F.col("id")], 3).select("domain", "id", "degree", "rank")
 
 
-@query("wn2_round_robin", "SELECT kind, pos, turn FROM (SELECT kind, pos, row_number() OVER (PARTITION BY kind ORDER BY pos, target) AS turn FROM e) ORDER BY turn, kind LIMIT 20", (), ("sparse",))
+@query("wn2_round_robin", "SELECT kind, pos, turn FROM (SELECT kind, pos, row_number() OVER (PARTITION BY kind ORDER BY pos, target) AS turn FROM e) ORDER BY turn, kind LIMIT 20", (), ("contains",))
 def _(g: Tables) -> DataFrame:
     return R.round_robin(g.e.select("kind", "pos", "target"), "kind", [F.col("pos"), F.col("target")], 20).select("kind", "pos", "turn")
 
@@ -431,7 +436,7 @@ def _(g: Tables) -> DataFrame:
     return R.page(g.n.select("id"), [F.col("id")], 20, 10)
 
 
-@query("wn9_budget", "SELECT pos, target, (SELECT count(*) FROM e) AS before, (SELECT count(*) FROM e) > 15 AS truncated FROM (SELECT pos, target FROM e ORDER BY pos, target LIMIT 15)", (), ("sparse",))
+@query("wn9_budget", "SELECT pos, target, (SELECT count(*) FROM e) AS before, (SELECT count(*) FROM e) > 15 AS truncated FROM (SELECT pos, target FROM e ORDER BY pos, target LIMIT 15)", (), ("contains",))
 def _(g: Tables) -> DataFrame:
     return R.budgeted(g.e.select("pos", "target"), [F.col("pos"), F.col("target")], 15)
 
@@ -485,7 +490,7 @@ def _(g: Tables) -> DataFrame:
     return R.only_in_one(g.e.select(F.col("target").alias("id")), g.n.select("id"))
 
 
-@query("st4_island_nodes", "SELECT id, 'left' AS side FROM (SELECT source AS id FROM e UNION SELECT target FROM e EXCEPT SELECT concat('OR:', o_orderkey) FROM orders)", (), ("sparse",))
+@query("st4_island_nodes", "SELECT id, 'left' AS side FROM (SELECT source AS id FROM e UNION SELECT target FROM e EXCEPT SELECT concat('OR:', o_orderkey) FROM orders)", (), ("contains",))
 def _(g: Tables) -> DataFrame:
     ids = g.e.select(F.explode(F.array("source", "target")).alias("id"))
     return R.only_in_one(ids, g.table("orders").select(F.concat(F.lit("OR:"), "o_orderkey").alias("id"))).where("side = 'left'")
@@ -525,7 +530,7 @@ def _(g: Tables) -> DataFrame:
 
 for _hops in (1, 2, 3):
 
-    @query(f"gr2_ego_{_hops}", f"{STEP_SQL}, w AS (SELECT {SEED_SQL} AS id, 0 AS hop UNION SELECT st.other, w.hop + 1 FROM w JOIN st ON st.id = w.id WHERE w.hop < {_hops}) SELECT id, min(hop) AS hop FROM w GROUP BY 1", (), ("sparse",))
+    @query(f"gr2_ego_{_hops}", f"{STEP_SQL}, w AS (SELECT {SEED_SQL} AS id, 0 AS hop UNION SELECT st.other, w.hop + 1 FROM w JOIN st ON st.id = w.id WHERE w.hop < {_hops}) SELECT id, min(hop) AS hop FROM w GROUP BY 1", (), ("contains",))
     def _(g: Tables, hops: int = _hops) -> DataFrame:
         return T.ego(g.e, first_part(g), hops)
 
@@ -535,7 +540,7 @@ for _hops in (1, 2, 3):
     f"""{STEP_SQL}, ends AS (SELECT min(source) AS a, max(source) AS b FROM e WHERE target = (SELECT target FROM e GROUP BY 1 HAVING count(DISTINCT source) > 1 ORDER BY count(DISTINCT source) DESC, 1 LIMIT 1)),
     w AS (SELECT a AS id, [a] AS chain FROM ends UNION ALL SELECT st.other, list_append(w.chain, st.other) FROM w JOIN st ON st.id = w.id WHERE len(w.chain) <= 4 AND NOT list_contains(w.chain, st.other) AND w.id <> (SELECT b FROM ends))
     SELECT array_to_string(chain, '>') AS path, CAST(len(chain) - 1 AS INT) AS length FROM w WHERE id = (SELECT b FROM ends) AND len(chain) > 1 ORDER BY 2, 1 LIMIT 5""",
-    (), ("sparse",),
+    (), ("contains",),
 )
 def _(g: Tables) -> DataFrame:
     hub = g.e.groupBy("target").agg(F.count_distinct("source").alias("n")).where("n > 1").orderBy(F.desc("n"), "target").limit(1)
@@ -543,7 +548,7 @@ def _(g: Tables) -> DataFrame:
     return T.paths(g.e, ends.a or "", ends.b or "", 4, 5)
 
 
-@query("gr5_filter_mode", "SELECT id FROM (SELECT source AS id FROM e WHERE kind = 'R' UNION SELECT target FROM e WHERE kind = 'R')", (), ("sparse",))
+@query("gr5_filter_mode", "SELECT id FROM (SELECT source AS id FROM e WHERE kind = 'R' UNION SELECT target FROM e WHERE kind = 'R')", (), ("contains",))
 def _(g: Tables) -> DataFrame:
     return R.of_types(g.e, kinds=["R"]).select(F.explode(F.array("source", "target")).alias("id")).distinct()
 
@@ -554,10 +559,13 @@ def _(g: Tables) -> DataFrame:
     return g.e.join(F.broadcast(seed), "target").agg(F.count("*").alias("n"))
 
 
-COMPONENT_SQL = f"{STEP_SQL}, w AS (SELECT id, id AS reach FROM st UNION SELECT w.id, st.other FROM w JOIN st ON st.id = w.reach), c AS (SELECT id, min(reach) AS component FROM w GROUP BY 1)"
+COMPONENT_SQL = (
+    f"{STEP_SQL}, c(id, component) USING KEY (id) AS (SELECT id, min(least(id, other)) FROM st GROUP BY id UNION "
+    "(SELECT st.id, min(c.component) FROM c JOIN st ON c.id = st.other JOIN recurring.c r ON r.id = st.id WHERE c.component < r.component GROUP BY st.id))"
+)
 
 
-@query("gr7_components", f"{COMPONENT_SQL} SELECT id, component FROM c", (), ("sparse",))
+@query("gr7_components", f"{COMPONENT_SQL} SELECT id, component FROM c", (), ("contains",))
 def _(g: Tables) -> DataFrame:
     return T.components(g.e)
 
@@ -572,17 +580,16 @@ def _(g: Tables) -> DataFrame:
     return g.e.where("source = target").agg(F.count("*").alias("n"))
 
 
-@query("gr10_islands", f"{COMPONENT_SQL}, s AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS islands FROM s GROUP BY 1", (), ("sparse",))
+@query("gr10_islands", f"{COMPONENT_SQL}, s AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS islands FROM s GROUP BY 1", (), ("contains",))
 def _(g: Tables) -> DataFrame:
     return T.components(g.e).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("islands"))
 
 
-LINEAGE_SQL = "WITH RECURSIVE up AS (SELECT b AS id, b // 2 AS ancestor, 1 AS depth FROM (SELECT unnest(range(2, 26)) AS b) UNION SELECT up.id, up.ancestor // 2, up.depth + 1 FROM up WHERE up.ancestor >= 2)"
+LINEAGE_SQL = "WITH RECURSIVE up AS (SELECT p_partkey AS id, p_partkey // 2 AS ancestor, 1 AS depth FROM part WHERE p_partkey >= 2 UNION SELECT up.id, up.ancestor // 2, up.depth + 1 FROM up WHERE up.ancestor >= 2)"
 
 
-def lineage(g: Tables, cycle: bool = False) -> DataFrame:
-    rows = g.spark.range(2, 26).select("id", F.floor(F.col("id") / 2).alias("parent"))
-    return rows.unionAll(g.spark.range(1).select(F.lit(1).cast("bigint").alias("id"), F.lit(2).cast("bigint").alias("parent"))) if cycle else rows
+def lineage(g: Tables) -> DataFrame:
+    return g.table("part").where("p_partkey >= 2").select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 2).alias("parent"))
 
 
 @query("gr12_lineage", f"{LINEAGE_SQL} SELECT id, ancestor, min(depth) AS depth FROM up GROUP BY ALL")
@@ -590,13 +597,20 @@ def _(g: Tables) -> DataFrame:
     return T.closure(lineage(g))
 
 
-@query("gr12_acyclic", "SELECT 'plain' AS lineage, true AS acyclic UNION ALL SELECT 'with_1_to_2', false")
-def _(g: Tables) -> DataFrame:
-    out = [T.closure(lineage(g, c)).agg(F.lit(n).alias("lineage"), (F.count_if(F.col("id") == F.col("ancestor")) == 0).alias("acyclic")) for n, c in (("plain", False), ("with_1_to_2", True))]
+@query(
+    "gr12_acyclic",
+    """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey // 2 AS parent FROM part WHERE p_partkey >= 2), q AS (SELECT * FROM p UNION ALL SELECT 1, max(p_partkey) FROM part),
+    up AS (SELECT id, parent AS ancestor FROM p UNION SELECT up.id, p.parent FROM up JOIN p ON p.id = up.ancestor), round AS (SELECT id, parent AS ancestor FROM q UNION SELECT round.id, q.parent FROM round JOIN q ON q.id = round.ancestor)
+    SELECT 'plain' AS lineage, count(*) FILTER (WHERE id = ancestor) AS on_a_cycle FROM up UNION ALL SELECT 'first_from_last', count(*) FILTER (WHERE id = ancestor) FROM round""",
+)
+def _(g: Tables) -> DataFrame:
+    plain = lineage(g)
+    again = g.table("part").agg(F.lit(1).cast("bigint").alias("id"), F.max("p_partkey").cast("bigint").alias("parent"))
+    out = [T.closure(x).agg(F.lit(n).alias("lineage"), F.count_if(F.col("id") == F.col("ancestor")).alias("on_a_cycle")) for n, x in (("plain", plain), ("first_from_last", plain.unionByName(again)))]
     return out[0].unionAll(out[1])
 
 
-@query("gr13_frontier", f"{STEP_SQL}, shown AS (SELECT {SEED_SQL} AS id UNION SELECT other FROM st WHERE id = {SEED_SQL}), ways AS (SELECT source AS id, target AS other FROM e UNION ALL SELECT target, source FROM e) SELECT id, count(*) AS hidden FROM ways WHERE id IN (SELECT id FROM shown) AND other NOT IN (SELECT id FROM shown) GROUP BY 1", (), ("sparse",))
+@query("gr13_frontier", f"{STEP_SQL}, shown AS (SELECT {SEED_SQL} AS id UNION SELECT other FROM st WHERE id = {SEED_SQL}), ways AS (SELECT source AS id, target AS other FROM e UNION ALL SELECT target, source FROM e) SELECT id, count(*) AS hidden FROM ways WHERE id IN (SELECT id FROM shown) AND other NOT IN (SELECT id FROM shown) GROUP BY 1", (), ("contains",))
 def _(g: Tables) -> DataFrame:
     return T.frontier(g.e, T.ego(g.e, first_part(g), 1))
 
@@ -622,7 +636,7 @@ def _(g: Tables) -> DataFrame:
     return T.diagnosis(g.e, {"kinds": F.col("kind") == "none", "trust": expr.level_rank(F.col("level")) >= 4, "confidence": F.col("confidence") >= 0.95})
 
 
-@query("gr18_merge_nodes", "WITH k AS (SELECT id, min(id) OVER (PARTITION BY name, domain) AS same_as FROM n) SELECT DISTINCT e.source, k.same_as AS target, e.kind FROM e JOIN k ON k.id = e.target", ("PA",), ("sparse",))
+@query("gr18_merge_nodes", "WITH k AS (SELECT id, min(id) OVER (PARTITION BY name, domain) AS same_as FROM n) SELECT DISTINCT e.source, k.same_as AS target, e.kind FROM e JOIN k ON k.id = e.target", ("PA",), ("contains",))
 def _(g: Tables) -> DataFrame:
     same = T.same_entity(g.n, F.concat_ws("|", "name", "domain"))
     return T.merged_nodes(g.e, same).select("source", "target", "kind").distinct()
@@ -633,7 +647,7 @@ def _(g: Tables) -> DataFrame:
     return T.same_entity(g.n, F.concat_ws("|", "name", "domain"))
 
 
-@query("gr20_link_candidates", f"{STEP_SQL} SELECT x.id AS a, y.id AS b, count(*) AS common FROM st x JOIN st y ON x.other = y.other AND x.id < y.id WHERE NOT EXISTS (SELECT 1 FROM st z WHERE z.id = x.id AND z.other = y.id) GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 20", (), ("sparse",))
+@query("gr20_link_candidates", f"{STEP_SQL} SELECT x.id AS a, y.id AS b, count(*) AS common FROM st x JOIN st y ON x.other = y.other AND x.id < y.id WHERE NOT EXISTS (SELECT 1 FROM st z WHERE z.id = x.id AND z.other = y.id) GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 20", (), ("contains",))
 def _(g: Tables) -> DataFrame:
     return T.link_candidates(g.e, 20)
 

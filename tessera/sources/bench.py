@@ -21,9 +21,9 @@ NODES: dict[str, tuple[str, str, str, str, str, str, str]] = {
     "SU": ("supplier", "concat('SU:', s_suppkey)", "Supplier Entity", "'supp'", "'crm'", "s_name", "s_acctbal"),
     "PA": ("part", "concat('PA:', p_partkey)", "Part Molecule", "concat('chem.', lower(p_type))", "p_brand", "p_name", "p_retailprice"),
     "OR": ("orders", "concat('OR:', o_orderkey)", "Order", "concat('order.', lower(o_orderpriority))", "concat('src', o_orderstatus)", "CAST(o_orderkey AS VARCHAR(20))", "o_totalprice"),
-    "DE": ("documents WHERE lang = 'en'", "concat('DO:', doc_id)", "Document Formula", "'physics.text'", "source", "substr(text, 1, 40)", "CAST(n_chars AS DOUBLE)"),
-    "DD": ("documents WHERE lang = 'de'", "concat('DO:', doc_id)", "Lemma Formula Document", "'math.text'", "source", "substr(text, 1, 40)", "CAST(n_chars AS DOUBLE)"),
-    "DO": ("documents WHERE lang NOT IN ('en', 'de')", "concat('mx:', doc_id)", "Document", "CASE WHEN lang = 'fr' THEN 'biology.text' END", "source", "substr(text, 1, 40)", "CAST(n_chars AS DOUBLE)"),
+    "DE": ("documents WHERE lang = 'en'", "concat('DO:', doc_id)", "Document Formula", "'physics.text'", "source", "text", "CAST(n_chars AS DOUBLE)"),
+    "DD": ("documents WHERE lang = 'de'", "concat('DO:', doc_id)", "Lemma Formula Document", "'math.text'", "source", "text", "CAST(n_chars AS DOUBLE)"),
+    "DO": ("documents WHERE lang IS NULL OR lang NOT IN ('en', 'de')", "concat('mx:', doc_id)", "Document", "CASE WHEN lang = 'fr' THEN 'biology.text' END", "source", "text", "CAST(n_chars AS DOUBLE)"),
     "US": ("(SELECT DISTINCT user_id FROM events) users", "concat('US:', user_id)", "User", "CAST(NULL AS VARCHAR(1))", "'log'", "concat('user ', user_id)", "CAST(NULL AS DOUBLE)"),
 }
 LEVEL = (
@@ -40,7 +40,6 @@ EDGES: dict[str, tuple[str, ...]] = {
     "in_region": ("nation", "CAST(n_nationkey AS BIGINT)", "concat('NA:', n_nationkey)", "concat('RG:', n_regionkey)", "'in_region'", "'geo'", "CAST(1 AS DOUBLE)", "'human_reviewed'", *_PLAIN),
     "did": ("(SELECT DISTINCT user_id, event_type FROM events) did", "CAST(user_id AS BIGINT)", "concat('US:', user_id)", "concat('EV:', event_type)", "'did'", "'log'", "CAST(1 AS DOUBLE)", "'source_asserted'", *_PLAIN),
 }
-EDGES["sparse"] = ("lineitem WHERE l_partkey % 40 = 0 AND l_quantity >= 40", *EDGES["contains"][1:])
 DOCUMENTS = ("DE", "DD", "DO")
 GEO = ("cust_nation", "supp_nation", "in_region")
 

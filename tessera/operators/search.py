@@ -53,6 +53,17 @@ def by_trigrams(nodes: DataFrame, index: DataFrame, query: str) -> DataFrame:
     return nodes.join(ids, "id", "left_semi").where(F.lower("name").contains(q))
 
 
+def any_field(nodes: DataFrame, query: str, *fields: str) -> DataFrame:
+    """Nodes that hold the query in one of the fields; a blank query, or one of over 100 characters, is refused."""
+    q = query.strip().lower()
+    if not 0 < len(q) <= 100:
+        raise ValueError("a query has 1 to 100 characters")
+    found = F.lit(False)
+    for f in fields:
+        found = found | F.coalesce(F.lower(f).contains(q), F.lit(False))
+    return nodes.where(found)
+
+
 def layered(nodes: DataFrame, query: str, aliases: DataFrame, index: DataFrame, most: int = 200) -> DataFrame:
     """(id, reason) by layers: identity, dictionary (alias, id), text; a node keeps its first reason, a layer gives `most` rows at most."""
     q = query.strip()

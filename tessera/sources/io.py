@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,14 +78,52 @@ def read_relations(spark: SparkSession, path: str) -> Graph:
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; a bad line ends the read with an error."""
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+    """JSON lines; a bad line ends the read with a ValueError that names its file and its number there."""
+    good, bad = read_lines(spark, path, schema)
+    first = bad.orderBy("file", "line").limit(1).collect()
+    if first:
+        raise ValueError(f"bad line {first[0].line} of {first[0].file}: {first[0]._bad[:200]}")
+    return good
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """JSON lines: the good rows, and the text of the bad ones."""
-    rows = spark.read.schema(f"{schema}, _bad string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").cache()
-    return rows.where("_bad IS NULL").drop("_bad"), rows.where("_bad IS NOT NULL").select("_bad")
+    """JSON lines: the good rows, and (file, line, _bad) of the bad ones. Blank lines are neither; only files with a bad line are numbered, each in one task."""
+    text = spark.read.text(path).withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()})
+    parsed = text.withColumn("row", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).where("trim(value) <> ''")
+    wrong = F.col("row._bad").isNotNull()
+    broken = parsed.where(wrong).select("file", "at")
+    numbered = text.join(broken.select("file").distinct(), "file", "left_semi").withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at")))
+    return parsed.where(~wrong).select("row.*").drop("_bad"), numbered.join(broken, ["file", "at"], "left_semi").select("file", "line", F.col("value").alias("_bad"))
+
+
+def first_source(*sources: Column) -> Column:
+    """The first source that there is, in the order given: an explicit one, an inferred one, the normalised one."""
+    return F.coalesce(*sources)
+
+
+def view_meta(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(section, key, n) of a view: nodes (id, type) by type, edges with both ends by kind, and the edges left out."""
+    ids = nodes.select(F.col("id").alias("target")).distinct().withColumn("there", F.lit(True))
+    marked = edges.join(ids, "target", "left")
+    kinds = marked.where("there").groupBy(F.lit("kind").alias("section"), F.col("kind").alias("key")).agg(F.count("*").alias("n"))
+    types = nodes.groupBy(F.lit("type").alias("section"), F.col("type").alias("key")).agg(F.count("*").alias("n"))
+    return types.unionAll(kinds).unionAll(marked.where("there IS NULL").agg(F.lit("dangling").alias("section"), F.lit("").alias("key"), F.count("*").alias("n")))
+
+
+def write_view(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes/ and edges/ as JSON lines, edges with both ends only, and meta/ with the counts."""
+    write_lines(nodes, f"{path}/nodes")
+    ids = nodes.select(F.col("id").alias("target")).distinct()
+    write_lines(edges.join(ids, "target", "left_semi"), f"{path}/edges")
+    view_meta(nodes, edges).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def write_store(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes by id, edges by source and again by target, and trigram postings by gram, each sorted, so that a lookup reads a few row groups."""
+    from ..operators.search import postings
+
+    for name, df, key in (("nodes", nodes, "id"), ("edges", edges, "source"), ("edges_by_target", edges, "target"), ("postings", postings(nodes), "gram")):
+        df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def lines(df: DataFrame) -> DataFrame:
@@ -98,17 +136,55 @@ def write_lines(df: DataFrame, path: str) -> None:
     lines(df).orderBy("id").select("line").write.mode("overwrite").text(path)
 
 
-def write_package(graph: Graph, path: str) -> DataFrame:
-    """nodes/ and edges/ as JSON lines and manifest/ with rows and a digest each, written last; returns the manifest."""
+def write_package(graph: Graph, path: str, docs: dict[str, str] | None = None, dry: bool = False) -> DataFrame:
+    """nodes/, edges/, docs/ and manifest/ with rows and a digest each: staged beside `path`, verified there, then promoted by a rename.
+
+    What lay at `path` is kept as `path`.before until the new package is in place. dry: verified, but not promoted. Returns the manifest;
+    a package that doesn't verify is left staged and raises ValueError.
+    """
     from ..operators.versions import content_id
 
+    spark, stage = graph.nodes.sparkSession, f"{path}.stage"
     manifest = None
     for name, df in (("nodes", graph.nodes), ("edges", graph.edges)):
-        write_lines(df, f"{path}/{name}")
+        write_lines(df, f"{stage}/{name}")
         one = content_id(lines(df), F.col("line")).select(F.lit(name).alias("part"), "n", "content_id")
         manifest = one if manifest is None else manifest.unionAll(one)
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
+    if docs:
+        spark.createDataFrame(sorted(docs.items()), "name string, value string").coalesce(1).write.mode("overwrite").json(f"{stage}/docs")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{stage}/manifest")
+    wrong = [r.part for r in verified_package(spark, stage).where("NOT ok").collect()]
+    if wrong:
+        raise ValueError(f"{stage}: {', '.join(wrong)} don't have what the manifest says")
+    return spark.read.schema("part string, n bigint, content_id string").json(f"{stage if dry else promoted(spark, stage, path)}/manifest")
+
+
+def promoted(spark: SparkSession, stage: str, path: str) -> str:
+    """Rename a staged folder into place in whatever store it is; the folder before it goes once the new one is there, and comes back if that fails."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (stage, f"{path}.before"))
+    fs.delete(old, True)
+    had = fs.exists(there) and fs.rename(there, old)
+    if not fs.rename(new, there):
+        if had:
+            fs.rename(old, there)
+        raise OSError(f"{stage} can't be renamed to {path}")
+    fs.delete(old, True)
+    return path
+
+
+def write_slice(graph: Graph, keep: Column, path: str, predicate: dict[str, str]) -> DataFrame:
+    """The nodes of a slice, the edges that touch it and the nodes these attach, as a package with its predicate in docs; (matched, attached, internal, crossing)."""
+    matched = graph.nodes.where(keep)
+    ids = matched.select("id").distinct()
+    s, t = (ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")) for end in ("source", "target"))
+    touching = graph.edges.join(s, "source", "left").join(t, "target", "left").where("_source OR _target")
+    attached = graph.nodes.join(touching.select(F.explode(F.array("source", "target")).alias("id")).distinct(), "id", "left_semi").join(ids, "id", "left_anti")
+    write_package(Graph(matched.unionByName(attached), touching.select(*graph.edges.columns)), path, {"predicate": str(sorted(predicate.items()))})
+    inside = F.coalesce(F.col("_source") & F.col("_target"), F.lit(False))
+    counts = touching.agg(F.count_if(inside).alias("internal"), F.count_if(~inside).alias("crossing"))
+    return matched.agg(F.count("*").alias("matched")).crossJoin(attached.agg(F.count("*").alias("attached"))).crossJoin(counts)
 
 
 def verified_package(spark: SparkSession, path: str) -> DataFrame:

@@ -43,27 +43,46 @@ def budgets(events: DataFrame, budget: float) -> DataFrame:
     numbers of the current user are held. Null values cost nothing; a null user_id is a user like any other; no events: no rows.
     """
 
+    rows = events.select(F.col("user_id").cast("bigint").alias("user_id"), "ts", "event_id", F.lit(False).alias("back"), F.col("value").cast("double").alias("cost"))
+    return _folded(rows, budget, "double").select("user_id", F.col("taken").alias("accepted"), F.col("refused").alias("rejected"), "spent")
+
+
+def with_rollback(events: DataFrame, budget: int) -> DataFrame:
+    """(user_id, spent, steps, refused) of events (user_id, ts, event_id, back, cost) in order of time: a step back gives its cost back, never below nothing."""
+    rows = events.select(F.col("user_id").cast("bigint").alias("user_id"), "ts", "event_id", "back", F.col("cost").cast("bigint").alias("cost"))
+    return _folded(rows, budget, "bigint").select("user_id", "spent", F.col("taken").alias("steps"), "refused")
+
+
+def _folded(rows: DataFrame, budget: float, kind: str) -> DataFrame:
+    """Each user's rows in order of time, read as a sorted stream: what is spent, how many were taken and how many refused."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["user_id", "accepted", "rejected", "spent"])
+        kinds = (pa.int64(), pa.float64() if kind == "double" else pa.int64(), pa.int64(), pa.int64())
+
+        def out(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["user_id", "spent", "taken", "refused"])
 
-        user, began, accepted, rejected, spent = None, False, 0, 0, 0.0
+        user, began, spent, taken, refused = None, False, 0, 0, 0
         for batch in batches:
-            rows = []
-            for u, cost in zip(batch["user_id"].to_pylist(), batch["value"].to_pylist()):
+            done = []
+            for u, back, cost in zip(*(batch[c].to_pylist() for c in ("user_id", "back", "cost"))):
                 if began and u != user:
-                    rows.append((user, accepted, rejected, spent))
-                    accepted, rejected, spent = 0, 0, 0.0
-                user, began, cost = u, True, cost or 0.0
-                fits = spent + cost <= budget
-                spent, accepted, rejected = spent + cost * fits, accepted + int(fits), rejected + int(not fits)
-            yield out(rows)
+                    done.append((user, spent, taken, refused))
+                    spent, taken, refused = 0, 0, 0
+                user, began, cost = u, True, cost or 0
+                if back:
+                    spent, taken = max(0, spent - cost), max(0, taken - 1)
+                elif spent + cost <= budget:
+                    spent, taken = spent + cost, taken + 1
+                else:
+                    refused += 1
+            yield out(done)
         if began:
-            yield out([(user, accepted, rejected, spent)])
+            yield out([(user, spent, taken, refused)])
 
-    rows = events.select(F.col("user_id").cast("bigint").alias("user_id"), "ts", "event_id", F.col("value").cast("double").alias("value"))
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "value").mapInArrow(run, "user_id bigint, accepted bigint, rejected bigint, spent double")
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").select("user_id", "back", "cost")
+    return ordered.mapInArrow(run, f"user_id bigint, spent {kind}, taken bigint, refused bigint")
 
 
 def budget_stream(events: DataFrame, budget: float, late: str = "1 day") -> DataFrame:

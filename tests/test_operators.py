@@ -1,11 +1,13 @@
 """Operators on small graphs with known answers, each checker with a case that must fail."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import expr
+from tessera.operators import audits
 from tessera.operators import relations as R
 from tessera.operators import traverse as T
 from tessera.operators import trust as E
@@ -198,3 +200,52 @@ def test_streams(spark, tmp_path):
     q = flows.deltas(stream, lambda df, k: seen.setdefault(k, df.count()), str(tmp_path / "c3"))
     settled(q)
     assert sum(seen.values()) == 4
+
+
+def test_packages_are_staged_verified_and_promoted(spark, tmp_path, monkeypatch):
+    n = spark.createDataFrame([("a", ["X"], "{}"), ("b", ["Y"], "{}"), ("c", ["Y"], "{}")], "id string, labels array<string>, props string")
+    e = spark.createDataFrame([("1", "a", "b", "t", "k", None), ("2", "b", "c", "t", "k", None)], "id string, source string, target string, type string, kind string, props string")
+    path = str(tmp_path / "pack")
+    dry = io.write_package(io.Graph(n, e), path, dry=True)
+    assert {r.part: r.n for r in dry.collect()} == {"nodes": 3, "edges": 2} and not os.path.exists(path)
+    io.write_package(io.Graph(n, e), path, {"README": "text"})
+    io.write_package(io.Graph(n.limit(2), e.limit(1)), path)  # takes the place of the first
+    assert all(r.ok for r in io.verified_package(spark, path).collect()) and sorted(os.listdir(tmp_path)) == ["pack"]
+    counts = io.write_slice(io.Graph(n, e), F.array_contains("labels", "X"), str(tmp_path / "slice"), {"dim": "label", "value": "X"}).first().asDict()
+    assert counts == {"matched": 1, "attached": 1, "internal": 0, "crossing": 1}
+    verify = io.verified_package
+    monkeypatch.setattr(io, "verified_package", lambda s, p: verify(s, p).withColumn("ok", F.lit(False)))
+    with pytest.raises(ValueError):
+        io.write_package(io.Graph(n, e), path)
+    assert spark.read.text(f"{path}/nodes").count() == 2  # what was there stays
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    (tmp_path / "l.jsonl").write_text('{"seq": 1}\n\n{"seq": 2}\n{"seq": \n{"seq": 3}\n')
+    good, bad = io.read_lines(spark, str(tmp_path / "l.jsonl"), "seq int")
+    assert sorted(r.seq for r in good.collect()) == [1, 2, 3] and [(r.line, r._bad) for r in bad.collect()] == [(4, '{"seq": ')]
+    with pytest.raises(ValueError, match="line 4"):
+        io.read_ledger(spark, str(tmp_path / "l.jsonl"), "seq int")
+
+
+def test_requests_are_refused_clamped_and_truncated(spark):
+    e = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "t", "k", k) for k in range(12)], "source string, target string, type string, kind string, pos int")
+    for bad in (audits.Request("filter"), audits.Request("filter", kinds=(" ",)), audits.Request("path", ("n0",)), audits.Request("walk"), audits.Request()):
+        assert audits.answered(e, bad).code == "BAD_REQUEST"
+    far = audits.answered(e, audits.Request("ego", ("n0",), hops=9))
+    assert far.status == "truncated" and far.truncated_by == "hops" and far.clamps == {"hops": (9, 5)} and far.edges.count() == 5
+    few = audits.answered(e, audits.Request("filter", types=("t",), max_edges=4))
+    assert few.status == "truncated" and (few.before, few.truncated_by, few.edges.count()) == (12, "max_edges", 4)
+    assert audits.answered(e, audits.Request("path", ("n3", "n0"), hops=3)).before == 3
+    assert audits.answered(e, audits.Request("ego", ("zz",))).status == "no_result"
+    with pytest.raises(TypeError):
+        audits.strict_predicate(e, "kind")
+
+
+def test_a_snapshot_is_computed_once():
+    import threading
+
+    cache, made = audits.SnapshotCache(), []
+    threads = [threading.Thread(target=lambda: cache.get("s", "x", lambda: made.append(1) or len(made))) for _ in range(8)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert cache.get("s", "x", lambda: 5) == 1 and cache.get("t", "x", lambda: 5) == 5 and cache.computed == 2

@@ -41,6 +41,14 @@ def _gone(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def rows_of(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast to the given types: other columns, also with clashing names, stay out."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])

@@ -28,7 +28,10 @@ PIECES = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType())
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Each document's ids as 16-bit bytes with end_id last, and where they begin among its source's ids in its task."""
+    """Each document's ids as 16-bit bytes with end_id last, and where they begin among its source's ids in its task.
+
+    Null text is empty (end_id alone), null source the source ''; repeated rows and rows without a doc_id are tokenized each; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import free_name, rows_of
 
 WORDS, BINS, RANK = 1 << 15, 10, 8
 STATS = 16
@@ -155,9 +155,10 @@ def scored(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = (), na
     """docs with a score in 0..1 in column `name`, which replaces one of that name; all rows, whole texts, null text as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
     docs = docs.drop(name)
+    free = [free_name(docs, f"_meta{k}") for k in range(len(metadata))]
     if docs.schema["text"].dataType.typeName() != "string":
         docs = docs.withColumn("text", F.col("text").cast("string"))
-    extra = [F.col(f"`{c}`").cast("double").alias(f"_meta{k}") for k, c in enumerate(metadata)]
+    extra = [F.col(f"`{c}`").cast("double").alias(f) for f, c in zip(free, metadata)]
     schema = docs.select("*", F.lit(0.0).alias(name)).schema
     keep, place = len(schema) - 1, docs.columns.index("text")
 
@@ -174,5 +175,10 @@ def scored(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = (), na
 
 
 def good(docs: DataFrame, labels: DataFrame, least: float = 0.7, metadata: tuple[str, ...] = (), most: int = 12_000) -> DataFrame:
-    """The documents whose score is `least` or more, with the columns of docs."""
-    return scored(docs, trained(docs, labels, metadata, most), metadata, "_quality_score_").where(F.col("_quality_score_") >= least).drop("_quality_score_")
+    """The documents whose score is `least` or more, with the columns of docs.
+
+    Null texts are scored as empty ones; repeated rows and rows without a doc_id are scored each. Without labels every score is 0.5. An empty
+    table gives none.
+    """
+    name = free_name(docs, "_score")
+    return scored(docs, trained(docs, labels, metadata, most), metadata, name).where(F.col(name) >= least).drop(name)

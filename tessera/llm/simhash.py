@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, rows_of, squeezed, stored
+from .common import connected_components, free_name, rows_of, squeezed, stored
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the code.
 GENERATOR, LENGTH, CHECK = 0b101011100011, 23, 11
@@ -591,8 +591,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows without a doc_id can't be named and stay as they are.
     """
     near = stored(near_duplicates(docs.where(F.col("doc_id").isNotNull()), **options), "classes")
-    kept = near.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept.hint("merge"), F.col("doc_id").cast(T.LongType()) == F.col("_kept"), "left_semi")
+    name = free_name(docs, "_kept")
+    kept = near.where("doc_id = class_id").select(F.col("doc_id").alias(name)).distinct()
+    stay = docs.join(kept.hint("merge"), F.col("doc_id").cast(T.LongType()) == F.col(name), "left_semi")
     if not near.groupBy("doc_id", "t1", "t2").count().where("count > 1").isEmpty():
         stay = stay.dropDuplicates(["doc_id", "text"])
     return stay.unionByName(docs.where(F.col("doc_id").isNull()))

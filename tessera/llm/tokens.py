@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 
@@ -45,20 +46,40 @@ class WordIds(dict):
         return ids
 
 
+#: The normaliser and the word pattern that the quick way was written for.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def is_plain(own) -> bool:
+    """Whether a tokenizer splits and lower-cases as the quick way does: its file says so."""
+    spec = json.loads(own.to_str())
+    words, levels = [*((spec["pre_tokenizer"] or {}).get("pretokenizers") or []), {}, {}][:2]
+    return (
+        (spec["normalizer"] or {}).get("normalizers") == NORMAL
+        and (words.get("pattern"), words.get("behavior"), words.get("invert")) == ({"Regex": PATTERN}, "Removed", True)
+        and (levels.get("type"), levels.get("add_prefix_space"), levels.get("use_regex")) == ("ByteLevel", False, False)
+        and spec["model"]["type"] == "BPE"
+        and not spec["model"]["dropout"]
+        and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+    )
+
+
 _LOADED: dict[str, tuple] = {}
 
 
 def encoder(path: str):
     """A function from text to ids as little-endian 16-bit bytes, equal to the tokenizer's encode without special tokens.
 
-    Texts of plain characters take the word table; the others go through the tokenizer whole.
+    Texts of plain characters take the word table, if the tokenizer is one of words as the table knows them; all others go through the
+    tokenizer whole. Ids of 65,536 or more raise OverflowError.
     """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        _LOADED[path] = (own, WordIds(own.model))
+        _LOADED[path] = (own, WordIds(own.model) if is_plain(own) else None)
     own, words = _LOADED[path]
 
     def encode(text: str) -> bytes:
@@ -66,7 +87,7 @@ def encoder(path: str):
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
             raw = b"\0"
-        if b"<|" in raw or raw.translate(None, PLAIN):
+        if words is None or b"<|" in raw or raw.translate(None, PLAIN):
             return array.array("H", own.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(words.__getitem__, raw.translate(LOWER).split()))
 

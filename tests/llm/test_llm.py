@@ -64,6 +64,20 @@ def test_encoder_equals_the_tokenizer(texts):
         assert np.frombuffer(encode(t), "<u2").tolist() == own.encode(t, add_special_tokens=False).ids
 
 
+def test_the_quick_way_is_for_the_tokenizer_it_was_written_for(tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessera.llm.tokens import is_plain
+
+    spec = json.load(open(TOKENIZER))
+    assert is_plain(Tokenizer.from_file(TOKENIZER))
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]  # keeps capitals
+    path = str(tmp_path / "other.json")
+    json.dump(spec, open(path, "w"))
+    own = Tokenizer.from_file(path)
+    assert not is_plain(own) and np.frombuffer(encoder(path)("It IS so"), "<u2").tolist() == own.encode("It IS so", add_special_tokens=False).ids
+
+
 def test_packing_is_an_exact_partition(spark, docs, texts):
     rows = packing.pack(docs, TOKENIZER, length=256, weights={"hot": 0.8, "cold": 0.1}).collect()
     encode = encoder(TOKENIZER)

@@ -63,20 +63,20 @@ def bump(before: Column, after: Column) -> Column:
     return out.otherwise("none")
 
 
-def classified(ledger: DataFrame) -> DataFrame:
-    """Each version of a ledger (seq, format_version, schema_id, license_profile, source_sha256, files_id) against the one before.
+def classified(ledger: DataFrame, by: str | None = None) -> DataFrame:
+    """Each version of a ledger, or of each ledger named in column `by`, (seq, format_version, schema_id, license_profile, source_sha256, files_id) against the one before.
 
     A changed record schema requires a major step, a changed licence a minor one, changed content a patch; declared: the step made is large enough.
     The first has no baseline: all null.
     """
-    w = Window.orderBy("seq")
+    w = Window.partitionBy(*([by] if by else [])).orderBy("seq")  # a ledger has a row a release, so without `by` one task is enough
     before = {c: F.lag(c).over(w) for c in ("format_version", "schema_id", "license_profile", "source_sha256", "files_id")}
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))
     rows = ledger.withColumns({f"_{c}": e for c, e in before.items()}).withColumn("_first", F.row_number().over(w) == 1)
     required = F.when(differs("schema_id"), "major").when(differs("license_profile"), "minor").when(differs("source_sha256") | differs("files_id"), "patch").otherwise("none")
     severity = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, ("none", "patch", "minor", "major"))), c), F.lit(0))
     rows = rows.withColumn("required_bump", F.when(~F.col("_first"), required)).withColumn("actual_bump", F.when(~F.col("_first"), bump(F.col("_format_version"), F.col("format_version"))))
-    return rows.withColumn("declared", F.when(~F.col("_first"), (F.col("actual_bump") != "downgrade") & (severity(F.col("actual_bump")) >= severity(F.col("required_bump"))))).select("seq", "format_version", "required_bump", "actual_bump", "declared")
+    return rows.withColumn("declared", F.when(~F.col("_first"), (F.col("actual_bump") != "downgrade") & (severity(F.col("actual_bump")) >= severity(F.col("required_bump"))))).select(*([by] if by else []), "seq", "format_version", "required_bump", "actual_bump", "declared")
 
 
 def slices(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -246,6 +246,151 @@ def _(g: Tables) -> DataFrame:
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+def scratch(g: Tables, name: str) -> str:
+    return f"{T.shared_dir(g.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def document(g: Tables, path: str, **lists: DataFrame) -> str:
+    """One JSON document of small tables, each a list of its rows."""
+    whole = None
+    for name, df in lists.items():
+        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        whole = one if whole is None else whole.crossJoin(F.broadcast(one))
+    whole.select(F.to_json(F.struct(*lists)).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def geography(g: Tables) -> tuple[DataFrame, DataFrame]:
+    """Nations and regions as (id, name, type), and (source, target) between them."""
+    n, r = g.table("nation"), g.table("region")
+    nation, region = F.concat(F.lit("NA:"), "n_nationkey"), lambda k: F.concat(F.lit("RG:"), k)
+    nodes = n.select(nation.alias("id"), F.col("n_name").alias("name"), F.lit("Nation").alias("type")).unionAll(r.select(region(F.col("r_regionkey")), "r_name", F.lit("Region")))
+    return nodes, n.select(nation.alias("source"), region(F.col("n_regionkey")).alias("target"))
+
+
+GEO_SQL = "WITH n AS (SELECT 'NA:' || n_nationkey AS id, n_name AS name, 'Nation' AS type FROM nation UNION ALL SELECT 'RG:' || r_regionkey, r_name, 'Region' FROM region), e AS (SELECT 'NA:' || n_nationkey AS source, 'RG:' || n_regionkey AS target FROM nation)"
+BOTH_SQL = f"{GEO_SQL} SELECT id, type AS kind, name FROM n UNION ALL SELECT 'lies_in|' || source || '|' || target, 'lies_in', NULL FROM e"
+
+
+def both(graph, name: str) -> DataFrame:
+    n = graph.nodes.select("id", F.get("labels", F.lit(0)).alias("kind"), F.get_json_object("props", f"$.{name}").alias("name"))
+    return n.unionAll(graph.edges.select("id", "kind", F.lit(None).cast("string")))
+
+
+@query("sc6_paper", BOTH_SQL)
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import read_paper
+
+    nodes, edges = geography(g)
+    nodes = nodes.select("id", "type", F.col("name").alias("latex"), F.lit("").alias("informal_text"))
+    edges = edges.select("source", "target", F.lit("lies_in").alias("kind"), F.lit(0.5).alias("confidence"))
+    return both(read_paper(g.spark, document(g, scratch(g, "paper"), nodes=nodes, dependencies=edges)), "latex")
+
+
+@query("sc7_csv_graph", BOTH_SQL)
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import read_csv_graph
+
+    nodes, edges = geography(g)
+    path = scratch(g, "csv")
+    nodes.select(F.col("id").alias("id:ID"), F.concat("type", F.lit(";Entity")).alias(":LABEL"), "name").write.csv(f"{path}/n", header=True)
+    edges.select(F.col("source").alias(":START_ID"), F.col("target").alias(":END_ID"), F.lit("lies_in").alias(":TYPE")).write.csv(f"{path}/e", header=True)
+    return both(read_csv_graph(g.spark, f"{path}/n", f"{path}/e"), "name")
+
+
+@query("sc9_adapter", BOTH_SQL)
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import read_relations
+
+    nodes, edges = geography(g)
+    relations = edges.select(F.col("source").alias("head"), F.col("target").alias("tail"), F.lit("lies_in").alias("relation"))
+    return both(read_relations(g.spark, document(g, scratch(g, "adapter"), entities=nodes, relations=relations)), "name")
+
+
+@query("sc8_full_export", "SELECT source, target, coalesce(kind, 'contains') AS kind FROM (SELECT 'OR:' || l_orderkey AS source, 'PA:' || l_partkey AS target, nullif(l_returnflag, 'A') AS kind, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem) WHERE r = 1")
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import exported
+
+    rows = g.table("lineitem").select(F.concat(F.lit("OR:"), "l_orderkey").alias("source"), F.concat(F.lit("PA:"), "l_partkey").alias("target"), F.lit("contains").alias("type"), F.nullif("l_returnflag", F.lit("A")).alias("kind"), F.lit(None).cast("string").alias("props"), F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("at"))
+    return exported(g.table("part").select(F.concat(F.lit("PA:"), "p_partkey").alias("id")), rows).edges.select("source", "target", "kind")
+
+
+@query("sc10_ledger", "SELECT p_partkey, p_name, p_size FROM part")
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import read_ledger
+
+    path = scratch(g, "ledger")
+    g.table("part").select("p_partkey", "p_name", "p_size").write.json(path)
+    return read_ledger(g.spark, path, "p_partkey bigint, p_name string, p_size int")
+
+
+@query("sc11_bad_lines", "SELECT p_size > 45 AS bad, count(*) AS n FROM part GROUP BY 1")
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import read_lines
+
+    path = scratch(g, "lines")
+    line = F.to_json(F.struct("p_partkey", "p_name"))
+    g.table("part").select(F.when(F.col("p_size") > 45, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
+    good, bad = read_lines(g.spark, path, "p_partkey bigint, p_name string")
+    return good.agg(F.lit(False).alias("bad"), F.count("*").alias("n")).unionAll(bad.agg(F.lit(True), F.count("*"))).where("n > 0")
+
+
+@query("sk1_sorted_lines", """SELECT '{"id":"PA:' || p_partkey || '","name":"' || p_name || '","size":' || p_size || '}' AS line FROM part""")
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import write_lines
+
+    path = scratch(g, "sorted")
+    write_lines(g.table("part").select(F.col("p_size").alias("size"), F.concat(F.lit("PA:"), "p_partkey").alias("id"), F.col("p_name").alias("name")), path)
+    return g.spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def packaged(g: Tables):
+    from ..sources.io import Graph
+
+    nodes, edges = geography(g)
+    edges = edges.select(F.concat_ws("|", F.lit("lies_in"), "source", "target").alias("id"), "source", "target", F.lit("lies_in").alias("type"), F.lit("lies_in").alias("kind"), F.lit(None).cast("string").alias("props"))
+    return Graph(nodes.select("id", F.array("type").alias("labels"), F.to_json(F.struct("name")).alias("props")), edges)
+
+
+@query("sk3_package", f"{GEO_SQL} SELECT 'nodes' AS part, count(*) AS n, true AS ok FROM n UNION ALL SELECT 'edges', count(*), true FROM e")
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import verified_package, write_package
+
+    path = scratch(g, "package")
+    return write_package(packaged(g), path, {"README": "nations and regions"}).select("part", "n").join(verified_package(g.spark, path), "part")
+
+
+@query("mg9_dry_run", f"{GEO_SQL} SELECT 'dry' AS run, (SELECT count(*) FROM n) AS n, false AS there UNION ALL SELECT 'applied', (SELECT count(*) FROM n), true")
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import write_package
+
+    path, rows = scratch(g, "dry"), []
+    there = g.spark._jvm.org.apache.hadoop.fs.Path(path)
+    for run in ("dry", "applied"):
+        manifest = write_package(packaged(g), path, dry=run == "dry")
+        rows.append((run, manifest.where("part = 'nodes'").first().n, there.getFileSystem(g.spark._jsc.hadoopConfiguration()).exists(there)))
+    return g.spark.createDataFrame(rows, "run string, n bigint, there boolean")
+
+
+@query("sk4_slice", f"{GEO_SQL}, m AS (SELECT id FROM n WHERE type = 'Nation' AND name < 'J' OR id = 'RG:1'), t AS (SELECT e.*, e.source IN (SELECT id FROM m) AS a, e.target IN (SELECT id FROM m) AS b FROM e) SELECT (SELECT count(*) FROM m) AS matched, (SELECT count(*) FROM (SELECT source AS id FROM t WHERE a OR b UNION SELECT target FROM t WHERE a OR b) WHERE id NOT IN (SELECT id FROM m)) AS attached, (SELECT count(*) FROM t WHERE a AND b) AS internal, (SELECT count(*) FROM t WHERE a <> b) AS crossing")
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import write_slice
+
+    keep = F.array_contains("labels", "Nation") & (F.get_json_object("props", "$.name") < "J") | (F.col("id") == "RG:1")
+    return write_slice(packaged(g), keep, scratch(g, "slice"), {"dim": "name", "value": "< J"})
+
+
+@query("sk6_lost_rows", "SELECT count(*) FILTER (WHERE p_size <= 45) AS sent, count(*) FILTER (WHERE p_size > 45) AS lost FROM part")
+def _(g: Tables) -> DataFrame:
+    from ..sources.io import upsert
+
+    def write(rows: list[dict]) -> None:
+        if any(r["p_size"] > 45 for r in rows):
+            raise OSError("refused")
+
+    return upsert(g.table("part").select("p_partkey", "p_size"), write, size=1, tries=1).agg(F.sum("sent").alias("sent"), F.sum("lost").alias("lost"))
+
+
 @query("st3_declared_files", "SELECT 'nation-' || n_nationkey AS id, 'left' AS side FROM nation WHERE n_regionkey < 3 AND n_nationkey % 5 = 0 UNION ALL SELECT 'nation-' || n_nationkey, 'right' FROM nation WHERE n_regionkey >= 3 AND n_nationkey % 5 <> 0")
 def _(g: Tables) -> DataFrame:
     """Files that a manifest declares (left) against those there are (right)."""

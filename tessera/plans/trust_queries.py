@@ -156,12 +156,13 @@ def _(g: Tables) -> DataFrame:
     return E.source_fidelity(evidence(g), registry(g)).where("public").join(ok, "src", "left_anti").agg(F.count("*").alias("n"))
 
 
-@query("ev13_lineage_licence", "WITH RECURSIVE up AS (SELECT b AS id, b AS anc FROM (SELECT unnest(range(1, 26)) AS b) UNION SELECT id, anc // 2 FROM up WHERE anc >= 2) SELECT id, bool_and(anc % 2 = 0 OR anc = 1) AS allowed FROM up GROUP BY 1")
+@query("ev13_lineage_licence", "WITH RECURSIVE up AS (SELECT p_partkey AS id, p_partkey AS anc FROM part UNION SELECT id, anc // 2 FROM up WHERE anc >= 2) SELECT id, bool_and(p_size % 7 <> 0) AS allowed FROM up JOIN part ON p_partkey = anc GROUP BY 1")
 def _(g: Tables) -> DataFrame:
-    own = g.spark.range(1, 26)
-    above = TR.closure(own.where("id >= 2").select("id", F.floor(F.col("id") / 2).alias("parent"))).select("id", "ancestor")
-    rows = above.unionAll(own.select("id", F.col("id").alias("ancestor")))
-    return rows.groupBy("id").agg(F.bool_and((F.col("ancestor") % 2 == 0) | (F.col("ancestor") == 1)).alias("allowed"))
+    from .graph_queries import lineage
+
+    own = g.table("part").select(F.col("p_partkey").alias("ancestor"), (F.col("p_size") % 7 != 0).alias("ok"))
+    above = TR.closure(lineage(g)).select("id", "ancestor").unionAll(own.select(F.col("ancestor").alias("id"), "ancestor"))
+    return above.join(own, "ancestor").groupBy("id").agg(F.bool_and("ok").alias("allowed"))
 
 
 @query("ev14_residuals", f"{EVIDENCE_SQL} SELECT CASE WHEN fidelity = 'changed' THEN 'source_changed' WHEN fidelity LIKE 'unverifiable%' THEN 'source_missing' WHEN level IN ('unverified', 'model_inferred') THEN 'level_too_low' ELSE 'UNCLASSIFIED' END AS reason, count(*) AS n FROM g WHERE internal <= 2 GROUP BY 1", (), ("contains",))
@@ -375,12 +376,18 @@ def _(g: Tables) -> DataFrame:
     return V.content_id(g.n, F.concat_ws("|", "id", "source", F.array_join("labels", ",")))
 
 
-VERSIONS = [(1, "dataset_v1.0.0", "a", "x", "s1", "f1"), (2, "dataset_v1.0.1", "a", "x", "s2", "f2"), (3, "dataset_v1.1.0", "a", "y", "s2", "f3"), (4, "dataset_v1.1.1", "b", "y", "s2", "f4"), (5, "dataset_v2.0.0", "c", "y", "s2", "f4"), (6, "dataset_v1.9.0", "c", "y", "s2", "f4")]
-
-
-@query("mg5_change_classes", "SELECT * FROM (VALUES (1, 'dataset_v1.0.0', NULL, NULL, NULL), (2, 'dataset_v1.0.1', 'patch', 'patch', true), (3, 'dataset_v1.1.0', 'minor', 'minor', true), (4, 'dataset_v1.1.1', 'major', 'patch', false), (5, 'dataset_v2.0.0', 'major', 'major', true), (6, 'dataset_v1.9.0', 'none', 'downgrade', false)) t(seq, format_version, required_bump, actual_bump, declared)")
+@query(
+    "mg5_change_classes",
+    """WITH v AS (SELECT p_brand, p_partkey AS seq, p_partkey // 100 AS x, p_partkey // 10 % 10 AS y, p_partkey % 10 AS z, p_size // 40 AS schema_id, p_type, p_name FROM part),
+    l AS (SELECT *, lag(seq) OVER w IS NULL AS first, lag(x) OVER w AS x0, lag(y) OVER w AS y0, lag(z) OVER w AS z0, lag(schema_id) OVER w AS s0, lag(p_type) OVER w AS t0, lag(p_name) OVER w AS n0 FROM v WINDOW w AS (PARTITION BY p_brand ORDER BY seq)),
+    c AS (SELECT *, CASE WHEN first THEN NULL WHEN schema_id <> s0 THEN 'major' WHEN p_type <> t0 THEN 'minor' WHEN p_name <> n0 THEN 'patch' ELSE 'none' END AS required_bump, CASE WHEN first THEN NULL WHEN x > x0 THEN 'major' WHEN y > y0 THEN 'minor' WHEN z > z0 THEN 'patch' ELSE 'none' END AS actual_bump FROM l)
+    SELECT p_brand, seq, 'dataset_v' || x || '.' || y || '.' || z AS format_version, required_bump, actual_bump, CASE WHEN NOT first THEN list_position(['none', 'patch', 'minor', 'major'], actual_bump) >= list_position(['none', 'patch', 'minor', 'major'], required_bump) END AS declared FROM c""",
+)
 def _(g: Tables) -> DataFrame:
-    return V.classified(g.spark.createDataFrame(VERSIONS, "seq int, format_version string, schema_id string, license_profile string, source_sha256 string, files_id string"))
+    k = F.col("p_partkey")
+    version = F.concat(F.lit("dataset_v"), F.floor(k / 100), F.lit("."), F.floor(k / 10) % 10, F.lit("."), k % 10)
+    rows = g.table("part").select("p_brand", k.alias("seq"), version.alias("format_version"), F.floor(F.col("p_size") / 40).cast("string").alias("schema_id"), F.col("p_type").alias("license_profile"), F.col("p_name").alias("source_sha256"), F.lit("same").alias("files_id"))
+    return V.classified(rows, "p_brand")
 
 
 @query("mg6_slice_ids", """SELECT domain, n, substr(sha256(concat_ws('|', n, p0, p1, p2, p3)), 1, 16) AS content_id FROM (SELECT domain, count(*) AS n, sum(('0x' || substr(h, 1, 8))::BIGINT) AS p0, sum(('0x' || substr(h, 9, 8))::BIGINT) AS p1, sum(('0x' || substr(h, 17, 8))::BIGINT) AS p2, sum(('0x' || substr(h, 25, 8))::BIGINT) AS p3

@@ -77,6 +77,13 @@ def read_relations(spark: SparkSession, path: str) -> Graph:
     )
 
 
+def exported(nodes: DataFrame, relationships: DataFrame) -> Graph:
+    """A full scan of a store's nodes and relationships (source, target, type, kind, props, at): the kind is the type where there is none, of equal ids the first `at` stays."""
+    named = relationships.withColumns({"kind": F.coalesce("kind", "type"), "id": F.concat_ws("|", "type", "source", "target")})
+    first = named.groupBy("id").agg(F.min_by(F.struct("source", "target", "type", "kind", "props"), "at").alias("r")).select("id", "r.*")
+    return Graph(nodes.dropDuplicates(["id"]), first)
+
+
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a bad line ends the read with a ValueError that names its file and its number there."""
     good, bad = read_lines(spark, path, schema)

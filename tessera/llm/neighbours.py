@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Lines, collisions that make a candidate, candidates wanted (a number and a share of the block), the first width in mean projections and the factor of each widening.
-LINES, LEAST, ENOUGH, SHARE, FIRST, WIDER = 192, 130, 200, 0.03, 1.1, 1.05
+LINES, LEAST, ENOUGH, SHARE, FIRST, WIDER = 160, 109, 200, 0.03, 1.1, 1.05
+#: Rows of a block on which a query's width is tried first.
+SAMPLE = 512
 #: Lines whose collisions are counted at once, as many as fit in a core's cache.
 SOME = 16
 #: Rows of a block (ranks have 16 bits) and queries of a turn.
@@ -44,29 +46,45 @@ class Index:
         self.norm = np.sqrt(square.max())
         at = (vectors / self.scale) @ self.lines[:-1] + np.sqrt(np.maximum(square.max() - square, 0))[:, None] * self.lines[-1]
         order = np.argsort(at, axis=0, kind="stable").T
-        self.sorted = np.ascontiguousarray(np.take_along_axis(at.T, order, axis=1))
+        # the sorted arrays end to end, each raised above the one before it, so that one search finds the ends of all windows
+        self.raised = 4 * self.norm * np.arange(LINES)
+        self.sorted = (np.take_along_axis(at.T, order, axis=1) + self.raised[:, None]).ravel()
         self.rank = np.empty(order.shape, np.uint16)
         np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
         self.past, self.met = np.empty((SOME, len(ids)), np.uint16), np.empty((SOME, len(ids)), bool)
 
+    def collisions(self, at: np.ndarray, width: float, rows: int) -> np.ndarray:
+        """On how many lines each of the first `rows` rows lies within a width of the query's projections."""
+        n = len(self.ids)
+        width = min(width, 1.9 * self.norm)  # all of a line
+        begin = np.arange(LINES) * n
+        lo = (np.searchsorted(self.sorted, self.raised + np.maximum(at - width, -1.9 * self.norm)) - begin).astype(np.uint16)[:, None]
+        hi = (np.searchsorted(self.sorted, self.raised + np.minimum(at + width, 1.9 * self.norm), "right") - begin)[:, None]
+        wide, count = np.minimum(hi - lo, 65_535).astype(np.uint16), np.zeros(rows, np.uint8)
+        past, met = self.past[:, :rows], self.met[:, :rows]
+        for j in range(0, LINES, SOME):
+            np.subtract(self.rank[j : j + SOME, :rows], lo[j : j + SOME], out=past)  # below lo: wraps past hi
+            np.less(past, wide[j : j + SOME], out=met)
+            count += met.view(np.uint8).sum(0, dtype=np.uint8)
+        return count
+
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that collide on LEAST lines once k + ENOUGH and SHARE of the block do, or all. Every query starts at the same width, so its result depends on the block alone."""
+        """Rows that collide on LEAST lines once k + ENOUGH and SHARE of the block do, or all.
+
+        The width is first tried on the block's first SAMPLE rows, a random part of it as rows are dealt by a hash, and then widened on all rows
+        until enough collide. Every query starts at the same width, so its result depends on the block alone.
+        """
         query = query / np.abs(query).max()
         at = (query * (self.norm / np.linalg.norm(query))) @ self.lines[:-1]
         n = len(self.ids)
         want, width = min(n, k + ENOUGH + int(SHARE * n)), FIRST * self.norm / np.sqrt(len(query) + 1)
-        while True:
-            lo = np.array([s.searchsorted(x) for s, x in zip(self.sorted, at - width)])
-            hi = np.array([s.searchsorted(x, "right") for s, x in zip(self.sorted, at + width)])
-            low, wide, count = lo.astype(np.uint16)[:, None], np.minimum(hi - lo, 65_535).astype(np.uint16)[:, None], np.zeros(n, np.uint8)
-            for j in range(0, LINES, SOME):
-                np.subtract(self.rank[j : j + SOME], low[j : j + SOME], out=self.past)  # below lo: wraps past hi
-                np.less(self.past, wide[j : j + SOME], out=self.met)
-                count += self.met.view(np.uint8).sum(0, dtype=np.uint8)
-            found = np.flatnonzero(count >= LEAST)
-            if len(found) >= want:
-                return found
-            width *= WIDER
+        for rows in sorted({min(SAMPLE, n), n}):
+            while True:
+                found = np.flatnonzero(self.collisions(at, width, rows) >= LEAST)
+                if len(found) * n >= want * rows or width > 2 * self.norm:
+                    break
+                width *= WIDER
+        return found if len(found) >= want else np.arange(n)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best verified candidates, the query's own row left out: scores are sums of products in double precision."""

@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a tokenizer file, with every word encoded once per worker."""
+"""Token ids of whole texts by a tokenizer file, with every word encoded about once per worker."""
 
 from __future__ import annotations
 
@@ -22,27 +22,21 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
 
 
-class WordIds(dict):
-    """Maps a lower-case Latin-1 word (bytes without white space) to its ids as 16-bit bytes; emptied at `most` words."""
+class PieceIds(dict):
+    """Maps a lower-case Latin-1 piece of the word pattern to its ids as 16-bit bytes; emptied at `most` pieces."""
 
     def __init__(self, model, most: int = 400_000):
         super().__init__()
         self.model, self.most, self.letters = model, most, _byte_letters()
-        self.pieces: dict[bytes, bytes] = {}
 
-    def piece(self, p: bytes) -> bytes:
-        spelled = "".join(map(self.letters.__getitem__, p.decode("latin-1").encode()))
-        self.pieces[p] = ids = array.array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-            self.pieces.clear()
-        got = self.pieces.get
-        ids = b"".join([got(p) or self.piece(p) for p in PIECE.findall(word)])
-        if len(word) < 64:
-            self[word] = ids
+        # printable ASCII bytes are their own letters
+        spelled = piece.decode("ascii") if piece.isascii() else "".join(map(self.letters.__getitem__, piece.decode("latin-1").encode()))
+        ids = array.array("H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        if len(piece) < 64:
+            self[piece] = ids
         return ids
 
 
@@ -71,7 +65,7 @@ _LOADED: dict[str, tuple] = {}
 def encoder(path: str):
     """A function from text to ids as little-endian 16-bit bytes, equal to the tokenizer's encode without special tokens.
 
-    Texts of plain characters take the word table, if the tokenizer is one of words as the table knows them; all others go through the
+    Texts of plain characters take the table of pieces, if the tokenizer splits as its pattern does; all others go through the
     tokenizer whole. Ids of 65,536 or more raise OverflowError.
     """
     if path not in _LOADED:
@@ -79,16 +73,16 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        _LOADED[path] = (own, WordIds(own.model) if is_plain(own) else None)
-    own, words = _LOADED[path]
+        _LOADED[path] = (own, PieceIds(own.model) if is_plain(own) else None)
+    own, pieces = _LOADED[path]
 
     def encode(text: str) -> bytes:
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
             raw = b"\0"
-        if words is None or b"<|" in raw or raw.translate(None, PLAIN):
+        if pieces is None or b"<|" in raw or raw.translate(None, PLAIN):
             return array.array("H", own.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(words.__getitem__, raw.translate(LOWER).split()))
+        return b"".join(map(pieces.__getitem__, PIECE.findall(raw.translate(LOWER))))
 
     return encode

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,9 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a table in the shared folder: written once, where checkpoint() would compute its plan a second time."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 
 def ego(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(id, hop): nodes within hops of seeds (column id), by fewest hops; more than the hard limit is clamped."""
-    step = both_ways(edges.select("source", "target")).select("id", "other").distinct()
+    step = both_ways(edges.select("source", "target")).select("id", "other")
     found = seeds.select("id", F.lit(0).alias("hop")).distinct()
     edge_of_search = found
     for hop in range(1, min(hops, HARD["hops"]) + 1):
@@ -74,14 +76,15 @@ def paths(edges: DataFrame, start: str, end: str, hops: int = 4, most: int = 5)
 
     Grown from both sides and met in the middle, so that a hub is expanded for half the length only.
     """
-    step = both_ways(edges.select("source", "target")).select("id", "other").distinct()
+    step = both_ways(edges.select("source", "target")).select("id", "other")
     hops = min(hops, HARD["hops"])
 
     def grown(node: str, n: int) -> list[DataFrame]:
         levels = [step.sparkSession.createDataFrame([([node],)], "chain array<string>")]
         for _ in range(n):
             last = levels[-1].withColumn("id", F.element_at("chain", -1)).join(step, "id").where(~F.array_contains("chain", F.col("other")))
-            levels.append(checkpointed(last.select(F.concat("chain", F.array("other")).alias("chain"))))
+            # parallel edges give a chain once; only the edges next to chains are looked at, not all
+            levels.append(checkpointed(last.select(F.concat("chain", F.array("other")).alias("chain")).distinct()))
         return levels
 
     near, far = grown(start, (hops + 1) // 2), grown(end, hops // 2)

@@ -116,11 +116,13 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.explode(F.array("source", "target")).alias("id")), "id", "left_anti")
 
 
-def closure(imports: DataFrame, hops: int = 20) -> DataFrame:
-    """(id, ancestor, depth) of acyclic lineage (id, parent), by fewest steps; a cycle shows as id = ancestor."""
+def closure(imports: DataFrame, hops: int | None = None) -> DataFrame:
+    """(id, ancestor, depth) of lineage (id, parent), by fewest steps, to its end unless hops are given; a cycle shows as id = ancestor."""
+    imports = imports.select("id", "parent").distinct()
     found = imports.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    level = found
-    for depth in range(2, hops + 1):
+    level, depth = found, 1
+    while hops is None or depth < hops:
+        depth += 1
         level = checkpointed(level.join(imports.select(F.col("id").alias("ancestor"), "parent"), "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti").distinct())
         if level.isEmpty():
             break
@@ -128,6 +130,21 @@ def closure(imports: DataFrame, hops: int = 20) -> DataFrame:
     return found
 
 
+def on_cycles(imports: DataFrame) -> DataFrame:
+    """(id) of lineage (id, parent) that is its own ancestor, however long the cycle.
+
+    Rows without a row before or after them lie on no cycle and are peeled off, as long as a round takes a tenth of them; only what is left is closed.
+    """
+    core = checkpointed(imports.select("id", "parent").where("id IS NOT NULL AND parent IS NOT NULL").distinct())
+    n = core.count()
+    while n:
+        core = checkpointed(core.join(core.select(F.col("parent").alias("id")), "id", "left_semi").join(core.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent"))
+        before, n = n, core.count()
+        if n > 0.9 * before:
+            break
+    return closure(core).where("id = ancestor").select("id")
+
+
 def frontier(edges: DataFrame, shown: DataFrame) -> DataFrame:
     """(id, hidden): how many edges of a shown node lead on to others that aren't shown."""
     step = both_ways(edges.select("source", "target"))

@@ -77,6 +77,15 @@ def test_long_chain_is_one_component(spark):
     assert {r.component for r in T.components(chain).collect()} == {"n000"}
 
 
+def test_lineage_longer_than_twenty_steps(spark):
+    ring = [(k, (k + 1) % 23) for k in range(23)]
+    rows = spark.createDataFrame(ring + [(100, 3), (101, 100), (5, 200), (200, 201), (300, 301)], "id long, parent long")
+    assert sorted(r.id for r in T.on_cycles(rows).collect()) == list(range(23))
+    chain = spark.createDataFrame([(k + 1, k) for k in range(22)], "id long, parent long")
+    assert T.on_cycles(chain).count() == 0
+    assert T.closure(chain).agg(F.max("depth")).first()[0] == 22
+
+
 def test_empty_graph(small):
     nodes, e = small
     none = e.limit(0)

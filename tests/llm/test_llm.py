@@ -734,3 +734,20 @@ def test_pipeline_stages(spark):
     good = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).select("doc_id").collect()}
     assert np.mean([(k in good) == bool(q) for k, q in labels.items()]) > 0.9
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_runs_that_one_longest_stretch_would_hide():
+    rng = np.random.default_rng(7)
+    u, v = rng.integers(0, 1 << 31, 400, dtype=np.uint32), rng.integers(0, 1 << 31, 400, dtype=np.uint32)
+    diluted = np.ravel(np.column_stack([u[:60], v[:60]]))
+    # y holds more shingles of the run in a diluted stretch than in the like one behind it; no gap in x
+    (found,) = passages.common_runs(u[:60], np.concatenate([diluted, v[100:200], u[:50]]), 46, 0.8)
+    assert found[:2] == (0, 60) and found[2] == 220 and found[4] == pytest.approx(50 / 60)
+    # the first part is equal, then y puts two others after each: the whole is unlike, its first part isn't
+    mixed = np.ravel(np.column_stack([u[60:160], v[60:160], v[200:300]]))
+    assert any(a == 0 and n >= 60 and like >= 0.8 for a, n, _, _, like in passages.common_runs(u[:160], np.concatenate([u[:60], mixed]), 46, 0.8))
+    # one word of a shortest passage edited at its end
+    edited = u[:46].copy()
+    edited[:1] = v[:1]
+    ((a, n, c, m, like),) = passages.common_runs(edited, u[:46], 46, 0.8)
+    assert (a, n) == (0, 46) and like >= 0.8

@@ -6,8 +6,9 @@ host's pages, all blocks in page order, are laid end to end, their suffixes sort
 side by side. Where such tokens stand outside articles on a third of the host's distinct pages or more they are boilerplate, and blocks
 that boilerplate covers go too, on every page. What is left are the unique runs.
 
-A host's pages are dealt out by a hash in parts of some hundred, each with an array of its own: what stands on a third of the host's pages
-stands on about a third of a part's, so the largest host is spread over all tasks and no part outgrows its memory.
+A large host's pages are dealt out by a hash in parts of some hundred, each with an array of its own, so the largest host is spread over all
+tasks and no part outgrows its memory. How many of the host's distinct pages hold a run is counted over all its parts beforehand, so the text
+of a page doesn't depend on how its host was dealt out.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import rows_of, stored
 
 #: Attributes: a quote opens a value only after "=", and a value without its second quote ends with the tag.
 REST = r"(?:[^>=]++|=\s*+\"[^\"<]*+\"|=\s*+'[^'<]*+'|=)*+"
@@ -128,7 +130,7 @@ def host_of(url: F.Column) -> F.Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^(?:(?:[a-z][a-z0-9+.-]*:)?//)?([^/?#]*)", 1)
 
 
-READ = "page_id bigint, url string, host string, part int, texts array<string>, places array<int>"
+READ = "page_id bigint, url string, host string, part int, texts array<string>, places array<int>, known array<bigint>"
 #: Pages of a part of a host; hosts of more than a part that are broadcast at most; share of a part's distinct pages that makes boilerplate.
 PAGES, BROADCAST, SHARE = 500, 10_000, 1 / 3
 
@@ -140,7 +142,73 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(k, 500)
             found = [blocks(page or "") for page in batch["html"].to_pylist()]
             texts, places = [[t for t, *_ in x] for x in found], [[p - 3 * off for _, p, off in x] for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))], names=["page_id", "url", "host", "part", "texts", "places"])
+            none = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), none], names=["page_id", "url", "host", "part", "texts", "places", "known"])
+
+
+def run_hashes(tokens: np.ndarray, run: int) -> np.ndarray:
+    """A 64-bit hash of each `run` tokens in a row, from the tokens' hashes."""
+    n = max(0, len(tokens) - run + 1)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(run):
+            out = (out ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def _outside(run: int):
+    """(host, page, runs): a digest of each page's blocks and places, and the hashes of its different runs outside articles."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[str, int] = {}
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                digests, runs = [], []
+                for page in batch["html"].to_pylist():
+                    found, parts, line = blocks(page or ""), [], []
+                    for text, place, off in [*found, ("", 1, False)]:
+                        if place - 3 * off <= 0:
+                            line += text.split(" ")
+                        elif line:
+                            tokens = np.array([hashes[w] if w in hashes else hashes.setdefault(w, token_hash(w)) for w in line], np.uint64)
+                            parts.append(run_hashes(tokens, run))
+                            line = []
+                    if len(hashes) > 500_000:
+                        hashes.clear()
+                    digests.append(xxhash.xxh3_128_digest(repr([(t, p - 3 * off) for t, p, off in found]).encode("utf-8", "surrogatepass")))
+                    runs.append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
+                yield pa.RecordBatch.from_arrays([batch["host"], pa.array(digests, pa.binary()), pa.array(runs, pa.binary())], names=["host", "page", "runs"])
+
+    return read
+
+
+def token_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, run, n) of distinct pages, added up as far as a task sees them; run null: the pages themselves."""
+    for batch in batches:
+        rows: dict[str, list[bytes]] = {}
+        for host, runs in zip(batch["host"].to_pylist(), batch["runs"].to_pylist()):
+            rows.setdefault(host, []).append(runs)
+        for host, many in rows.items():
+            run, n = np.unique(np.frombuffer(b"".join(many), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * (len(run) + 1), pa.string()), pa.array([None, *run.tolist()], pa.int64()), pa.array([len(many), *n.tolist()], pa.int64())], names=["host", "run", "n"])
+
+
+def host_runs(rows: DataFrame, run: int) -> DataFrame:
+    """(host, known): the hashes of runs that stand outside articles on SHARE of all the host's distinct pages, on two at least.
+
+    Rows (host, html). A page holds no more runs than tokens, so no host has more of these than three pages have tokens.
+    """
+    distinct = rows.select("host", "html").mapInArrow(_outside(run), "host string, page binary, runs binary").groupBy("host", "page").agg(F.first("runs").alias("runs"))
+    counted = distinct.select("host", "runs").mapInArrow(_counted, "host string, run bigint, n bigint").groupBy("host", "run").agg(F.sum("n").alias("n"))
+    counted = stored(counted.where("run IS NULL OR n > 1"), "runs")
+    pages = counted.where("run IS NULL").select("host", F.greatest(F.lit(2), F.ceil(F.col("n") * F.lit(SHARE))).alias("enough"))
+    return pages.join(counted.where("run IS NOT NULL"), "host", "left").groupBy("host").agg(F.collect_list(F.when(F.col("n") >= F.col("enough"), F.col("run"))).alias("known"))
 
 
 def suffix_ranks(stream: np.ndarray, run: int) -> np.ndarray:
@@ -163,10 +231,10 @@ def suffix_ranks(stream: np.ndarray, run: int) -> np.ndarray:
         rank, length = paired(rank, length, rank), 2 * length
 
 
-def boilerplate(pages: list[tuple[list[str], list[int]]], run: int) -> list[list[bool]]:
+def boilerplate(pages: list[tuple[list[str], list[int]]], run: int, known: np.ndarray | None = None) -> list[list[bool]]:
     """Which blocks of each page (texts, places) of a host are covered to four fifths or more by runs of tokens that stand outside articles on SHARE of the distinct pages.
 
-    Pages with equal texts are one page. Two distinct pages at least must share a run.
+    Pages with equal texts are one page. Two distinct pages at least must share a run. known: the hashes of such runs, where the pages are a part of a host.
     """
     words = [[t.split(" ") for t in texts] for texts, _ in pages]
     number: dict[str, int] = {}
@@ -182,14 +250,24 @@ def boilerplate(pages: list[tuple[list[str], list[int]]], run: int) -> list[list
         # each page ends in a token of its own, with which no run is shared
         stream.append(-1 - k), outside.append(False), block.append(-1), page.append(same)
     stream, outside, page = np.array(stream, np.int64), np.array(outside, bool), np.array(page, np.int64)
-    if not len(number) or len(copies) < 2:
+    if not len(number) or known is None and len(copies) < 2:
         return [[False] * len(texts) for texts, _ in pages]
     rank = suffix_ranks(stream, run)
     n = int(page.max()) + 1
     sums = np.append(0, np.cumsum(outside))
     outside = sums[np.minimum(np.arange(len(stream)) + run, len(stream))] - sums[:-1] == run  # all of a run, not its first token alone
-    counts = np.bincount(np.unique(rank[outside] * n + page[outside]) // n, minlength=int(rank.max()) + 1)
-    begins = np.flatnonzero(counts[rank] >= max(2, int(np.ceil(SHARE * len(copies)))))
+    if known is None:
+        counts = np.bincount(np.unique(rank[outside] * n + page[outside]) // n, minlength=int(rank.max()) + 1)
+        often = counts >= max(2, int(np.ceil(SHARE * len(copies))))
+    else:
+        # one suffix of each rank tells whether its run is known; what crosses the end of a page isn't outside
+        ranks, first = np.unique(rank[outside], return_index=True)
+        hashes = np.array([token_hash(w) for w in number], np.uint64)
+        at = np.flatnonzero(outside)[first]
+        often = np.zeros(int(rank.max()) + 1, bool)
+        if len(at):
+            often[ranks] = np.isin(run_hashes(hashes[np.maximum(stream, 0)], run)[at].view(np.int64), known)
+    begins = np.flatnonzero(often[rank])
     change = np.bincount(begins, minlength=len(stream) + 1)[: len(stream) + 1] - np.bincount(np.minimum(begins + run, len(stream)), minlength=len(stream) + 1)
     covered = np.cumsum(change)[: len(stream)] > 0
     out, at = [], 0
@@ -217,24 +295,27 @@ def page_text(texts: list[str], places: list[int], repeated: list[bool]) -> tupl
 
 
 def _decided(run: int):
-    """Rows sorted by host and part: the text of each page of a part."""
+    """Rows sorted by host and part, the host's known runs first: the text of each page of a part."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
+        held, at, runs = [], None, None
 
         def out() -> pa.RecordBatch:
             pages = [(t, p) for _, _, t, p in held]
-            found = [page_text(t, p, r) for (t, p), r in zip(pages, boilerplate(pages, run))]
+            found = [page_text(t, p, r) for (t, p), r in zip(pages, boilerplate(pages, run, runs))]
             columns = [[x[0] for x in held], [x[1] for x in held], [t for t, _ in found], [n for _, n in found]]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "repeated"])
 
         for batch in batches:
-            for host, part, *row in zip(*(batch[c].to_pylist() for c in ("host", "part", "page_id", "url", "texts", "places"))):
-                if held and (host, part) != at:
-                    yield out()
-                    held = []
-                at = (host, part)
-                held.append(row)
+            for host, part, known, *row in zip(*(batch[c].to_pylist() for c in ("host", "part", "known", "page_id", "url", "texts", "places"))):
+                if (host, part) != at:
+                    if held:
+                        yield out()
+                    held, at, runs = [], (host, part), None
+                if known is not None:
+                    runs = np.array(known, np.int64)
+                else:
+                    held.append(row)
         if held:
             yield out()
 
@@ -259,5 +340,8 @@ def main_text(pages: DataFrame, run: int = 6) -> DataFrame:
         rows = rows.withColumn("parts", F.lit(1))
     part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int")
     read = rows.select("page_id", "url", "host", part.alias("part"), "html").mapInArrow(_read, READ)
+    if some:
+        each = host_runs(rows.where("parts IS NOT NULL"), run).join(known, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "known")
+        read = read.unionByName(each, allowMissingColumns=True)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return read.repartition(n, "host", "part").sortWithinPartitions("host", "part", "page_id").mapInArrow(_decided(run), "page_id bigint, url string, text string, repeated bigint")
+    return read.repartition(n, "host", "part").sortWithinPartitions("host", "part", F.col("known").isNull(), "page_id").mapInArrow(_decided(run), "page_id bigint, url string, text string, repeated bigint")

@@ -705,6 +705,23 @@ def test_a_split_host_gives_the_same_texts(spark, monkeypatch):
     assert {tuple(r) for r in extraction.main_text(df).collect()} == whole and all(menu not in r[2] for r in whole)
 
 
+def test_a_split_host_counts_over_all_its_parts(spark, monkeypatch):
+    rng = random.Random(11)
+    notes = [words(rng, 9) for _ in range(4)]
+    # on 20, 19, 21 and 1 of 60 distinct pages, the last on ten copies of one; only the first and the third are boilerplate
+    held = [set(rng.sample(range(59), n)) for n in (20, 19, 21)] + [{59}]
+    text = lambda k: "".join(f"<div>{n}</div>" for n, h in zip(notes, held) if k in h) + f"<p>{own[k]}</p>"
+    own = [words(rng, 25) for _ in range(60)]
+    pages = [(k, f"http://big.org/{k}", text(min(k, 59))) for k in range(70)] + [(100, "http://small.org/", text(1))]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    whole = {tuple(r) for r in extraction.main_text(df).collect()}
+    assert all(notes[0] not in r[2] and notes[2] not in r[2] for r in whole if r[0] < 100)
+    assert sum(notes[1] in r[2] for r in whole if r[0] < 100) == 19 and sum(notes[3] in r[2] for r in whole) == 11
+    for n in (5, 20, 50):
+        monkeypatch.setattr(extraction, "PAGES", n)
+        assert {tuple(r) for r in extraction.main_text(df).collect()} == whole
+
+
 @needs_data
 def test_articles_of_the_pages(spark):
     import html

@@ -195,15 +195,79 @@ def merged_nodes(edges: DataFrame, same: DataFrame) -> DataFrame:
     return edges.where("source <> target").dropDuplicates(["source", "target", "type", "kind"])
 
 
+def numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, id) and different undirected links (a, b), no loops, by 64-bit hashes of ids; the seed is changed until no two ids share one."""
+    ids = edges.select(F.col("source").alias("id")).unionAll(edges.select(F.col("target").alias("id"))).where("id IS NOT NULL").distinct()
+    ids, seed = checkpointed(ids), 0
+    of = lambda c: F.xxhash64(F.lit(seed), c)
+    while not ids.groupBy(of(F.col("id")).alias("node")).count().where("count > 1").isEmpty():
+        seed += 1
+    links = edges.where("source <> target").select(of(F.col("source")).alias("s"), of(F.col("target")).alias("t"))
+    return ids.select(of(F.col("id")).alias("node"), "id"), links.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+
+
 def link_candidates(edges: DataFrame, most: int) -> DataFrame:
     """(a, b, common): unordered pairs without an edge, by the number of common neighbours.
 
-    Pairs come from common neighbours alone, so no pair is made that would score nothing.
+    No pair is counted that has one common neighbour only, unless there are too few others. Nodes are ranked by degree. Paths u - v - w with u ranked
+    above v and w are counted by (u, w): a pair whose common neighbours all rank below it is such a (u, w), with all of them; any other pair of
+    `least` common neighbours has the two highest of these as (u, w), which stand among the first of its neighbours, and is found as two v of it.
+    The best counts of the first kind give `least`. All pairs found are counted in full.
     """
+    nodes, links = numbered(edges)
+    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rank = lambda n, c: F.struct(F.col(f"d{c}"), F.col(n))
+    degree = checkpointed(ends.groupBy("a").count())
+    for c in "ab":
+        links = links.join(degree.select(F.col("a").alias(c), F.col("count").alias(f"d{c}")), c)
+    swap = rank("a", "a") > rank("b", "b")
+    up = checkpointed(links.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for n, x, y in (("v", "a", "b"), ("u", "b", "a"), ("dv", "da", "db"), ("du", "db", "da"))]))
+    known = up.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b"))
+    step = up.select("v", F.col("u").alias("w"), F.col("du").alias("dw"), "dv").unionAll(up.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("dv").alias("dw"), F.col("du").alias("dv")))
+    # a node below which and above which there are others is the middle of a path that goes on upwards
+    between = checkpointed(up.select("v").distinct().join(up.select(F.col("u").alias("v")).distinct(), "v", "left_semi"))
+    tops = up.select("v", "u", "du")
+    paths = tops.join(up.select("v", F.col("u").alias("w"), F.col("du").alias("dw")), "v").where(rank("w", "w") < rank("u", "u")).select("u", "w")
+    paths = paths.unionAll(tops.join(between, "v", "left_semi").join(up.select(F.col("u").alias("v"), F.col("v").alias("w")).join(between, "v", "left_semi"), "v").select("u", "w"))
+    often = checkpointed(paths.groupBy("u", "w").agg(F.count("*").alias("n")).where("n > 1"))
+
+    def unlinked(pairs: DataFrame) -> DataFrame:
+        return pairs.join(known, ["a", "b"], "left_anti")
+
+    first = often.select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b"), "n")
+    best = unlinked(first).orderBy(F.desc("n")).limit(most).agg(F.count("*").alias("rows"), F.min("n").alias("n")).first()
+    least = best.n if best.rows == most else 2
+    middle = step.join(often.select("w").distinct().withColumnRenamed("w", "v"), "v", "left_semi").select(F.col("v").alias("w"), F.col("w").alias("v"), F.col("dw").alias("dv")).where(F.col("dv") >= least)
+    middle = checkpointed(often.select("u", "w").join(middle, "w").join(up.select("v", "u"), ["v", "u"], "left_semi"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("dw"), F.desc("w")))
+    order = checkpointed(step.join(middle.select("v").distinct(), "v", "left_semi").select("v", "w", place.alias("place")))
+    middle = middle.join(order.select("v", F.col("w").alias("u"), F.col("place").alias("pu")), ["v", "u"]).where(F.col("pu") <= F.col("dv") - least + 1)
+    middle = middle.join(order.select("v", "w", F.col("place").alias("pw")), ["v", "w"]).where(F.col("pw") <= F.col("dv") - least + 2).select("u", "w", "v")
+    middle = checkpointed(middle)
+    second = middle.withColumnRenamed("v", "a").join(middle.withColumnRenamed("v", "b"), ["u", "w"]).where("a < b").select("a", "b")
+    pairs = checkpointed(unlinked(first.where(F.col("n") >= least).select("a", "b").unionAll(second).distinct()))
+    near = step.select(F.col("v").alias("a"), F.col("w").alias("z"))
+    common = pairs.join(near, "a").join(near.withColumnRenamed("a", "b"), ["b", "z"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+    for c in "ab":
+        common = common.join(nodes.select(F.col("node").alias(c), F.col("id").alias(f"i{c}")), c)
+    found = checkpointed(common.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "common").orderBy(F.desc("common"), "a", "b").limit(most))
+    lack = most - found.count()
+    return found if lack <= 0 else found.unionAll(_single_common(edges, nodes, lack)).orderBy(F.desc("common"), "a", "b")
+
+
+def _single_common(edges: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """The first pairs (a, b, common) with one common neighbour and without an edge, from the smallest ids on, ten times as many each time."""
     step = both_ways(edges.select("source", "target")).select("id", "other").distinct()
-    pairs = step.alias("x").join(step.alias("y"), F.col("x.other") == F.col("y.other")).where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("common"))
     known = step.select(F.col("id").alias("a"), F.col("other").alias("b"))
-    return pairs.join(known, ["a", "b"], "left_anti").orderBy(F.desc("common"), "a", "b").limit(most)
+    some, all_nodes = 1_000, nodes.count()
+    while True:
+        head = checkpointed(nodes.select("id").orderBy("id").limit(some))
+        x = step.join(head, "id", "left_semi")
+        pairs = x.alias("x").join(step.alias("y"), F.col("x.other") == F.col("y.other")).where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("common"))
+        found = checkpointed(pairs.where("common = 1").join(known, ["a", "b"], "left_anti").orderBy("a", "b").limit(most))
+        if some >= all_nodes or found.count() == most:
+            return found
+        some *= 10
 
 
 def sampled(edges: DataFrame, seeds: DataFrame, hops: int, per_node: int) -> DataFrame:

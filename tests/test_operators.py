@@ -77,6 +77,23 @@ def test_long_chain_is_one_component(spark):
     assert {r.component for r in T.components(chain).collect()} == {"n000"}
 
 
+def test_link_candidates_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"o{k}", f"p{rng.randrange(40)}") for k in range(90) for _ in range(rng.randint(1, 5))]
+    graphs = [rows, [(f"n{rng.randrange(25):02d}", f"n{rng.randrange(25):02d}") for _ in range(90)], [(f"a{i}", f"b{j}") for i in range(9) for j in range(9)], [("hub", f"x{k}") for k in range(8)]]
+    for pairs in graphs:
+        near: dict[str, set] = {}
+        for a, b in pairs:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        want = sorted((-len(near[a] & near[b]), a, b) for a in near for b in near if a < b and b not in near[a] and near[a] & near[b])
+        e = edges(spark, [(a, b, "t", "t", None, None) for a, b in pairs])
+        for most in (5, 60):
+            assert [(-r.common, r.a, r.b) for r in T.link_candidates(e, most).collect()] == want[:most]
+
+
 def test_lineage_longer_than_twenty_steps(spark):
     ring = [(k, (k + 1) % 23) for k in range(23)]
     rows = spark.createDataFrame(ring + [(100, 3), (101, 100), (5, 200), (200, 201), (300, 301)], "id long, parent long")

@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -768,3 +769,19 @@ def test_runs_that_one_longest_stretch_would_hide():
     edited[:1] = v[:1]
     ((a, n, c, m, like),) = passages.common_runs(edited, u[:46], 46, 0.8)
     assert (a, n) == (0, 46) and like >= 0.8
+
+
+def test_runs_of_repeated_lines_take_no_time():
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 31, 31, dtype=np.uint32)
+    other = line.copy()
+    other[:5] = rng.integers(0, 1 << 31, 5, dtype=np.uint32)  # one word of the line differs: 26 of 36 shingles
+    x, y = np.resize(line, 1081), np.resize(other, 1081)
+    began = time.process_time()
+    found = passages.common_runs(x, y, 46, 0.8)
+    assert time.process_time() - began < 3
+    # stretches of x next to each other, each like a part of the line that holds none of the other word
+    assert found and all(x[a] == line[a % 31] and n >= 46 and like == pytest.approx(26 / 31) for a, n, _, _, like in found)
+    assert all(set(y[c : c + m].tolist()) == set(line[5:].tolist()) for _, _, c, m, _ in found)
+    spans = sorted((a, a + n) for a, n, *_ in found)
+    assert sum(b - a for a, b in spans) > 1000 and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))

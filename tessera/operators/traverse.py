@@ -9,7 +9,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,9 +102,71 @@ def paths(edges: DataFrame, start: str, end: str, hops: int = 4, most: int = 5)
     return found.distinct().orderBy("length", "path").limit(min(most, HARD["paths"]))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): smallest id that can be reached, by spreading minimum labels and jumping to labels' labels."""
-    step = checkpointed(both_ways(edges.select("source", "target")).select("id", "other").distinct())
+def _contracted(chunk: int):
+    """Rows (id, root) of links (a, b): the ids of about each `chunk` links a task reads, and the number of their component among these links alone."""
+
+    def of(batches: list[pa.RecordBatch], first: int) -> tuple[pa.RecordBatch, int]:
+        links = pa.Table.from_batches(batches)
+        coded = pa.concat_arrays([*links["a"].chunks, *links["b"].chunks]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        a, b, label = codes[: links.num_rows], codes[links.num_rows :], np.arange(len(coded.dictionary))
+        while len(a):
+            a, b = label[a], label[b]
+            apart = a != b
+            a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+            np.minimum.at(label, b, a)
+            while (label != (up := label[label])).any():
+                label = up
+        roots, at = np.unique(label, return_inverse=True)
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(at + first)], names=["id", "root"]), first + len(roots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size, first = [], 0, 0, TaskContext.get().partitionId() << 40
+        for batch in (whole.slice(k, chunk) for whole in batches for k in range(0, whole.num_rows, chunk)):
+            if n and (n + batch.num_rows > chunk or size + batch.nbytes > 1 << 28):
+                found, first = of(held, first)
+                yield from (found.slice(k, 50_000) for k in range(0, found.num_rows, 50_000))
+                held, n, size = [], 0, 0
+            held, n, size = [*held, batch], n + batch.num_rows, size + batch.nbytes
+        if n:
+            found, first = of(held, first)
+            yield from (found.slice(k, 50_000) for k in range(0, found.num_rows, 50_000))
+
+    return run
+
+
+def components(edges: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+    """(id, component): smallest id that can be reached.
+
+    Each task finds the components among every `chunk` links it reads; those of several chunks that hold a node are linked, and these links
+    contracted in turn until one task takes them. Where chunks contract too little, minimum labels are spread instead.
+    """
+    return _joined(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), chunk)
+
+
+def _joined(links: DataFrame, chunk: int) -> DataFrame:
+    """(id, component) of links (a, b); rows without an end take no part."""
+    kind = links.schema["a"].dataType.simpleString()
+    met = checkpointed(links.where("a IS NOT NULL AND b IS NOT NULL").mapInArrow(_contracted(chunk), f"id {kind}, root bigint"))
+    shared = checkpointed(met.withColumn("first", F.min("root").over(Window.partitionBy("id"))))
+    more = checkpointed(shared.where("root <> first").select(F.col("first").alias("a"), F.col("root").alias("b")).distinct())
+    n, least = more.count(), met.groupBy("root").agg(F.min("id").alias("id"))
+    if n:
+        if n <= chunk:
+            top = checkpointed(more.coalesce(1).mapInArrow(_contracted(n), "id bigint, root bigint")).toDF("root", "top")
+        else:
+            # the links of one chunk's component go to one task
+            top = (_joined(more.repartition("a"), chunk) if n <= 0.7 * met.count() / 2 else _spread(more)).toDF("root", "top")
+        least = least.join(top, "root", "left").select("root", "id", F.when(F.col("top").isNull(), F.struct(F.lit(False).alias("joined"), F.col("root").alias("n"))).otherwise(F.struct(F.lit(True).alias("joined"), F.col("top").alias("n"))).alias("top"))
+        least = least.join(least.groupBy("top").agg(F.min("id").alias("component")), "top").select("root", "component")
+    else:
+        least = least.withColumnRenamed("id", "component")
+    return shared.where("root = first").select("id", "root").join(checkpointed(least), "root").select("id", "component")
+
+
+def _spread(links: DataFrame) -> DataFrame:
+    """(id, component) of links (a, b), by spreading minimum labels and jumping to labels' labels."""
+    step = checkpointed(both_ways(links.select(F.col("a").alias("source"), F.col("b").alias("target"))).select("id", "other").distinct())
     labels = checkpointed(step.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")))
     while True:
         spread = step.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("seen"))

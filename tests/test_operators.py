@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,31 @@ def test_long_chain_is_one_component(spark):
     assert {r.component for r in T.components(chain).collect()} == {"n000"}
 
 
+def test_components_however_links_are_dealt(spark):
+    rng = random.Random(3)
+    # one task takes what is left; stars that contract in turn; too little contracted, so labels are spread
+    for n, m, chunk in ((300, 200, 150), (20, 400, 40), (60, 40, 3)):
+        links = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+        rng.shuffle(links)
+        at = {x: x for link in links for x in link}
+        for _ in at:
+            for a, b in links:
+                at[a] = at[b] = min(at[a], at[b])
+        e = edges(spark, [(a, b, "t", "t", None, None) for a, b in links] + [("n0", None, "t", "t", None, None)])
+        rows = T.components(e.coalesce(1), chunk).collect()
+        assert len(rows) == len(at) and {r.id: r.component for r in rows} == at
+
+
+def test_components_read_the_links_once(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(T, "checkpointed", lambda df, f=T.checkpointed: written.append(df.columns) or f(df))
+    rng = random.Random(4)
+    e = edges(spark, [(f"o{k // 4}", f"p{rng.randrange(300)}", "t", "t", None, None) for k in range(4_000)])
+    assert {r.component for r in T.components(e).collect()} == {"o0"}
+    # no rounds over the links: what is written has at most a row for each node of each task
+    assert len(written) <= 5
+
+
 def test_link_candidates_against_all_pairs(spark):
     import random
 

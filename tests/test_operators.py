@@ -93,6 +93,13 @@ def test_components_however_links_are_dealt(spark):
         assert len(rows) == len(at) and {r.id: r.component for r in rows} == at
 
 
+def test_island_sizes_over_chunks(spark):
+    # a large island in all chunks, pairs that lie in one
+    e = edges(spark, [(f"o{k}", f"p{k % 40 if k < 400 else k}", "t", "t", None, None) for k in range(430)] + [(f"o{k}", f"p{k + 1}", "t", "t", None, None) for k in range(39)])
+    sizes = T.components(e.coalesce(1), 150).groupBy("component").count().groupBy("count").agg(F.count("*").alias("islands"))
+    assert {r["count"]: r.islands for r in sizes.collect()} == {440: 1, 2: 30}
+
+
 def test_components_read_the_links_once(spark, tmp_path, monkeypatch):
     written = []
     monkeypatch.setattr(T, "checkpointed", lambda df, f=T.checkpointed: written.append(df.columns) or f(df))

@@ -135,13 +135,14 @@ def _contracted(chunk: int):
     return run
 
 
-def components(edges: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+def components(edges: DataFrame, chunk: int = 4_000_000) -> DataFrame:
     """(id, component): smallest id that can be reached.
 
-    Each task finds the components among every `chunk` links it reads; those of several chunks that hold a node are linked, and these links
-    contracted in turn until one task takes them. Where chunks contract too little, minimum labels are spread instead.
+    Links go to tasks by ranges of their source, so that it doesn't matter in which order they lie in the table. Each task finds the components
+    among every `chunk` links it gets; those of several chunks that hold a node are linked, and these links contracted in turn until one task
+    takes them. Where chunks contract too little, each node is first contracted with a neighbour.
     """
-    return _joined(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), chunk)
+    return _joined(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).repartitionByRange("a"), chunk)
 
 
 def _joined(links: DataFrame, chunk: int) -> DataFrame:
@@ -156,7 +157,7 @@ def _joined(links: DataFrame, chunk: int) -> DataFrame:
             top = checkpointed(more.coalesce(1).mapInArrow(_contracted(n), "id bigint, root bigint")).toDF("root", "top")
         else:
             # the links of one chunk's component go to one task
-            top = (_joined(more.repartition("a"), chunk) if n <= 0.7 * met.count() / 2 else _spread(more)).toDF("root", "top")
+            top = (_joined(more.repartition("a"), chunk) if n <= 0.7 * met.count() / 2 else _hooked(more, chunk)).toDF("root", "top")
         least = least.join(top, "root", "left").select("root", "id", F.when(F.col("top").isNull(), F.struct(F.lit(False).alias("joined"), F.col("root").alias("n"))).otherwise(F.struct(F.lit(True).alias("joined"), F.col("top").alias("n"))).alias("top"))
         least = least.join(least.groupBy("top").agg(F.min("id").alias("component")), "top").select("root", "component")
     else:
@@ -164,18 +165,22 @@ def _joined(links: DataFrame, chunk: int) -> DataFrame:
     return shared.where("root = first").select("id", "root").join(checkpointed(least), "root").select("id", "component")
 
 
-def _spread(links: DataFrame) -> DataFrame:
-    """(id, component) of links (a, b), by spreading minimum labels and jumping to labels' labels."""
-    step = checkpointed(both_ways(links.select(F.col("a").alias("source"), F.col("b").alias("target"))).select("id", "other").distinct())
-    labels = checkpointed(step.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("component")))
-    while True:
-        spread = step.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("seen"))
-        jumped = labels.select(F.col("id").alias("at"), F.col("component").alias("jump"))
-        new = labels.join(spread, "id").join(jumped, F.col("component") == F.col("at")).select("id", F.least("component", "seen", "jump").alias("component"), (F.least("component", "seen", "jump") < F.col("component")).alias("changed"))
-        new = checkpointed(new)
-        labels = new.drop("changed")
-        if new.where("changed").isEmpty():
-            return labels
+def _hooked(links: DataFrame, chunk: int) -> DataFrame:
+    """(id, component) of links (a, b) by numbers: each node is replaced by the least of itself and its neighbours, in an order by hash.
+
+    Links stay links, or join a node to itself and go. The last node of a component in that order is never one that replaces another, and of
+    any graph only a part of the nodes is left, the less the more links they have.
+    """
+    step = both_ways(links.select(F.col("a").alias("source"), F.col("b").alias("target"))).select("id", "other")
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    up = checkpointed(step.groupBy("id").agg(F.min(rank("other")).alias("other")).select("id", F.least(rank("id"), "other")["n"].alias("up")))
+    for c in "ab":
+        links = links.join(up.select(F.col("id").alias(c), F.col("up").alias(f"up_{c}")), c)
+    left = checkpointed(links.where("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+    if left.isEmpty():
+        return up.withColumnRenamed("up", "component")
+    top = _joined(left.repartition("a"), chunk).toDF("up", "top")
+    return up.join(top, "up", "left").select("id", F.coalesce("top", "up").alias("component"))
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:

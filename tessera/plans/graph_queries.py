@@ -582,7 +582,9 @@ def _(g: Tables) -> DataFrame:
 
 @query("gr10_islands", f"{COMPONENT_SQL}, s AS (SELECT component, count(*) AS size FROM c GROUP BY 1) SELECT size, count(*) AS islands FROM s GROUP BY 1", (), ("contains",))
 def _(g: Tables) -> DataFrame:
-    return T.components(g.e).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("islands"))
+    # sizes need no names: nodes by number, orders even and parts odd; a key past 2^62 is an error
+    links = g.e.select((F.col("okey") * 2).alias("source"), (F.col("part") * 2 + 1).alias("target"))
+    return T.components(links).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("islands"))
 
 
 LINEAGE_SQL = "WITH RECURSIVE up AS (SELECT p_partkey AS id, p_partkey // 2 AS ancestor, 1 AS depth FROM part WHERE p_partkey >= 2 UNION SELECT up.id, up.ancestor // 2, up.depth + 1 FROM up WHERE up.ancestor >= 2)"

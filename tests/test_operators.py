@@ -100,6 +100,31 @@ def test_island_sizes_over_chunks(spark):
     assert {r["count"]: r.islands for r in sizes.collect()} == {440: 1, 2: 30}
 
 
+def test_components_of_interleaved_copies(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(T, "checkpointed", lambda df, f=T.checkpointed: written.append(df.columns) or f(df))
+    rng = random.Random(5)
+    once = [(k // 4, rng.randrange(60)) for k in range(400)]
+    # each row of the table is followed by its copies: a chunk of links in this order holds a little of all copies
+    e = edges(spark, [(f"o{c * 100 + o:05d}", f"p{c * 60 + p:05d}", "t", "t", None, None) for o, p in once for c in range(40)])
+    rows = T.components(e.coalesce(1), 2_000).collect()
+    assert {r.component for r in rows} == {f"o{c * 100:05d}" for c in range(40)} and len(rows) == 40 * (100 + len({p for _, p in once}))
+    # no rounds over all links
+    assert len(written) <= 5
+
+
+def test_components_of_ids_in_no_order(spark, monkeypatch):
+    hooked = []
+    monkeypatch.setattr(T, "_hooked", lambda *of, f=T._hooked: hooked.append(of) or f(*of))
+    rng = random.Random(8)
+    names = [f"n{k:04d}" for k in range(1_000)]
+    rng.shuffle(names)
+    # a ring, of which no chunk contracts much
+    e = edges(spark, [(names[k], names[(k + 1) % 1_000], "t", "t", None, None) for k in range(1_000)])
+    rows = T.components(e.coalesce(1), 20).collect()
+    assert len(rows) == 1_000 and {r.component for r in rows} == {"n0000"} and hooked
+
+
 def test_components_read_the_links_once(spark, tmp_path, monkeypatch):
     written = []
     monkeypatch.setattr(T, "checkpointed", lambda df, f=T.checkpointed: written.append(df.columns) or f(df))

@@ -785,3 +785,26 @@ def test_runs_of_repeated_lines_take_no_time():
     assert all(set(y[c : c + m].tolist()) == set(line[5:].tolist()) for _, _, c, m, _ in found)
     spans = sorted((a, a + n) for a, n, *_ in found)
     assert sum(b - a for a, b in spans) > 1000 and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_thinly_shared_stretches_are_not_searched_by_pairs(monkeypatch):
+    searched = []
+    monkeypatch.setattr(passages, "_best_pair", lambda *of, f=passages._best_pair: searched.append(of) or f(*of))
+    x = np.arange(2_000, dtype="<u4")
+    # every second shingle is shared: many in each window, but no stretch holds enough of them
+    assert passages.common_runs(x, np.where(x % 2, x, x + 10_000).astype("<u4"), 46, 0.8) == [] and not searched
+    # one passage of 46 with 9 of its shingles edited one by one
+    y = np.where(x % 2, x, x + 10_000).astype("<u4")
+    y[500:546] = np.where(x[500:546] % 5 == 2, x[500:546] + 10_000, x[500:546])
+    assert not passages.common_runs(x, y, 46, 0.8)
+    y[500:546] = x[500:546]
+    assert [r[1] >= 46 and r[0] <= 500 and r[0] + r[1] >= 546 for r in passages.common_runs(x, y, 46, 0.8)] == [True]
+
+
+def test_dense_against_all_stretches():
+    rng = np.random.default_rng(12)
+    for _ in range(600):
+        inside = rng.random(int(rng.integers(1, 40))) < rng.random()
+        length, common, similarity = int(rng.integers(1, 12)), float(rng.choice([0.8, 3.2, 5.0])), float(rng.choice([0.5, 0.8]))
+        want = any(j - i >= length and inside[i:j].sum() >= common - 1e-9 and inside[i:j].sum() >= similarity * (j - i) - 1e-9 for i in range(len(inside)) for j in range(i + 1, len(inside) + 1))
+        assert passages._dense(inside, similarity, length, common) == want
